@@ -64,11 +64,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float
     return out.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).select("source", "source_no", "source_size", "n", "target", "epochs", "budget")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix", rows_per_range: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of every row."""
-    text = F.col(text_col)
-    key = F.pow(uniform(F.col(id_col), seed), F.lit(1.0) / quality_weight(text))
-    slim = common.written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), key.alias("key")), "mix-sizes")
+def sampled(docs: DataFrame, weights, share: float, cap: float, seed: str, rows_per_range: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' slim rows with their source's numbers and whether they are taken once more; the sources."""
+    slim = common.written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), key_of(F.col(id_col), F.col(text_col), seed).alias("key")), "mix-sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     # a row a source: below the broadcast threshold the joins on it need no shuffle
     sources = common.written(targets(sources, weights, share, cap), "mix-targets").withColumnRenamed("source", "named")
@@ -83,7 +81,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     start = F.col("end") - F.col("size")
     # the document on the edge is taken if that ends nearer to the budget
     once_more = (F.col("end") <= F.col("budget")) | ((start < F.col("budget")) & (F.col("end") - F.col("budget") <= F.col("budget") - start))
-    return out.select("doc_id", "size", "source_size", "target", ((F.col("epochs") + once_more.cast("long")) * F.col("size")).alias("taken"))
+    return out.withColumn("once_more", once_more), sources
+
+
+def key_of(id_col: Column, text: Column, seed: str) -> Column:
+    return F.pow(uniform(id_col, seed), F.lit(1.0) / quality_weight(text))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix", rows_per_range: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target and taken (words, repeats counted) of every row."""
+    out, _ = sampled(docs, weights, share, cap, seed, rows_per_range, id_col, text_col, source_col)
+    return out.select("doc_id", "size", "source_size", "target", ((F.col("epochs") + F.col("once_more").cast("long")) * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix", rows_per_range: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every row, all columns unchanged, as often as the mix takes it.
+
+    What is taken once more is a prefix of its source's order, so each source's last
+    taken place decides for all rows where they are, and no text is shuffled. Rows that
+    are equal in id and size to the last one are taken with it.
+    """
+    out, sources = sampled(docs, weights, share, cap, seed, rows_per_range, id_col, text_col, source_col)
+    last = out.filter("once_more").groupBy("source_no").agg(F.max(F.struct((-F.col("key")).alias("k"), F.col("doc_id"), F.col("size"))).alias("_mix_last"))
+    cuts = common.written(sources.join(last, "source_no", "left").select(F.col("named").alias("_mix_source"), F.col("epochs").alias("_mix_epochs"), "_mix_last"), "mix-cuts")
+    place = F.struct((-key_of(F.col(id_col), F.col(text_col), seed)).alias("k"), F.col(id_col).alias("doc_id"), size_of(F.col(text_col)).alias("size"))
+    copies = F.col("_mix_epochs") + F.coalesce(place <= F.col("_mix_last"), F.lit(False)).cast("long")
+    rows = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_copies", copies).filter("_mix_copies > 0")
+    return rows.withColumn("_mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
 
 
 ORACLE = r"""

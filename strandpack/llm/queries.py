@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandpack.llm import common, digests, langid, mixing, quality, secrets, simhash, tokenfile, topk
+from strandpack.llm import chat, common, digests, langid, mixing, pieces, quality, secrets, simhash, tokenfile, topk
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(common.table(spark, sf_dir, "conversations"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tokens": op6_tokens,
     "op7_fingerprints": op7_fingerprints,
     "op8_topk": op8_topk,
+    "op9_chat": op9_chat,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE: dict[str, str] = {

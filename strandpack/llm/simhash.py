@@ -173,3 +173,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS, i
     prints = common.written(fingerprints(docs, width, id_col, text_col), "prints")
     found = classes(prints, max_bits, group_limit)
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns unchanged, but for those with a near-duplicate of a smaller id.
+
+    Only the ids to drop are joined to the texts. Of rows that repeat an id one stays;
+    rows without an id are compared with each other for equal texts.
+    """
+    prints = common.written(fingerprints(docs.filter(F.col(id_col).isNotNull()), width, id_col, text_col), "prints")
+    found = prints.join(classes(prints, max_bits), "fp")
+    drop = common.written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "dropped-ids")
+    again = common.written(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    kept = docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    if not again.isEmpty():
+        repeated = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
+        kept = kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(repeated)
+    nameless = docs.filter(F.col(id_col).isNull())
+    return kept if nameless.isEmpty() else kept.filter(F.col(id_col).isNotNull()).unionByName(nameless.dropDuplicates([text_col]))

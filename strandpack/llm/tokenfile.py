@@ -11,8 +11,8 @@ ids and offsets stand beside the payload, so readers can prune to the blocks the
 Documents are dealt to ascending id ranges, tokenised and packed where they are sorted,
 so that the parts, one after the other, are the whole stream in order.
 
-Tokenising: the vocabulary's words do not depend on each other, so the library encodes
-every distinct white-space token once and a bounded cache keeps its ids; texts with
+Tokenising: the vocabulary's words do not depend on each other, so the library's model
+turns each distinct word into ids once and a bounded cache keeps them; texts with
 characters beyond Latin script and general punctuation, or with special tokens, go to
 the library whole, since there case folding or matching looks across words.
 
@@ -22,11 +22,11 @@ by text; null ids come first; an empty table writes no block.
 
 from __future__ import annotations
 
-import itertools
 import re
 import struct
 import sys
 import types
+import unicodedata
 import zlib
 
 import numpy as np
@@ -41,8 +41,8 @@ MAGIC, VERSION = b"TPK1", 1
 HEADER = struct.Struct("<4sHHIQ")  # magic, version, bits, documents, ids
 END_ID = 1
 #: Outside these, texts are encoded whole.
-UNCOMMON = re.compile("[^\x00-ɏ‐-‧‰-⁞€]|İ|<\\|(?:start|end)oftext\\|>")
-CACHE_WORDS = 400_000
+UNCOMMON = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\u0130|<\\|(?:start|end)oftext\\|>")
+CACHE_WORDS = 500_000
 
 
 # -- bits ---------------------------------------------------------------------------
@@ -114,41 +114,71 @@ def kept(name: str, make):
     return getattr(home, name)
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes
+    for themselves, the others, in order, for the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return [hidden.get(b, chr(b)) for b in range(256)]
+
+
+class Words(dict):
+    """Word -> ids as bytes; what is missing is made by ``make`` and kept up to ``limit`` words."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = got = self.make(word)
+        return got
+
+
 class WordEncoder:
-    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does, word by word."""
+    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does, word by word.
+
+    Of the library's chain, the folding and the cuts between words are done here (for
+    the characters where both agree), and its model turns each new word into ids.
+    """
+
+    # Fixed value: the vocabulary's own pattern of words.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words, many at a time: one call, its ids told apart by word."""
-        for s in range(0, len(words), 4096):
-            some = words[s : s + 4096]
-            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            cuts = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
-            data = ids.tobytes()
-            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        self.model, self.letters = self.library.model, byte_letters()
+        self.cut = regex.compile(self.PATTERN).findall
+        self.parts = Words(self.part, CACHE_WORDS)
+        self.words = Words(self.word, CACHE_WORDS)
+
+    def part(self, part: str) -> bytes:
+        raw = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
+        return struct.pack(f"<{len(got)}I", *got) if (got := [t.id for t in self.model.tokenize(raw)]) else b""
+
+    def word(self, word: str) -> bytes:
+        low = unicodedata.normalize("NFC", word).lower()
+        if low.isalpha():
+            return self.parts[low]
+        if low[-1:] in ",." and low[:-1].isalpha():
+            return self.parts[low[:-1]] + self.parts[low[-1]]
+        return b"".join(map(self.parts.__getitem__, self.cut(low)))
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        split = [None if t and UNCOMMON.search(t) else (t or "").split() for t in texts]
-        new = set(itertools.chain.from_iterable(w for w in split if w)).difference(self.words)
-        self.learn(sorted(new))
-        end = struct.pack("<I", end_id)
+        end, known = struct.pack("<I", end_id), self.words.__getitem__
         out = []
-        for text, words in zip(texts, split):
-            if words is None:
+        for text in texts:
+            if text and UNCOMMON.search(text):
                 out.append(np.array([*self.library.encode(text, add_special_tokens=False).ids, end_id], np.uint32))
             else:
-                out.append(np.frombuffer(b"".join([*map(self.words.__getitem__, words), end]), "<u4"))
+                out.append(np.frombuffer(b"".join([*map(known, (text or "").split()), end]), "<u4"))
         return out
 
 
