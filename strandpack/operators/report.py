@@ -27,9 +27,9 @@ def top(rows: DataFrame, by: str, n: int, tie: str) -> DataFrame:
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """Values at the index trunc((n - 1) * q) of each group in ascending order."""
     w = Window.partitionBy(*keys)
-    placed = rows.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda q: F.floor((F.col("n") - 1) * q) + 1
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *(F.max(F.when(F.col("k") == at(q), F.col(value))).alias(f"p{q * 100:g}".replace(".", "_")) for q in shares))
+    placed = rows.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_place"), F.count(F.lit(1)).over(w).alias("_size"))
+    at = lambda q: F.floor((F.col("_size") - 1) * q) + 1
+    return placed.groupBy(*keys).agg(F.max("_size").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *(F.max(F.when(F.col("_place") == at(q), F.col(value))).alias(f"p{q * 100:g}".replace(".", "_")) for q in shares))
 
 
 def summary(results: DataFrame) -> DataFrame:
