@@ -6,9 +6,10 @@ bits: of five blocks at least one is free of differences when at most four bits
 so no link is lost. In a group the Hamming distances to many reference fingerprints
 (pivots) are tabulated; by the triangle inequality a pair whose coordinates differ by
 more than the limit anywhere is discarded, and the survivors are verified. Groups above
-``group_limit`` are not processed but split again: the bits that are not agreed on yet
-are cut in five blocks once more, which again loses no link. A group gives a
-spanning forest of its links, never all pairs.
+``group_limit`` are split again: the bits that are not agreed on yet are cut in five
+blocks once more, which again loses no link. What is above the limit even then is a
+crowd of near fingerprints; it is cut in chunks, and every two chunks meet in a task of
+their own. A group gives a spanning forest of its links, never all pairs.
 
 Defined cases: a text without words (null and empty too) has fingerprint 0 and is linked
 like any other; with fewer words than a shingle the whole sequence is the only shingle;
@@ -141,21 +142,30 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024
                 b.append(fps[root[own]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [np.zeros(0, np.int64)])), pa.array(np.concatenate(b or [np.zeros(0, np.int64)]))], ["a", "b"])
 
+    def grouped(keyed: DataFrame, keys: list[str]) -> DataFrame:
+        return keyed.groupBy(*keys).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps").mapInArrow(run, "a long, b long")
+
+    keys = ["mask", "bits"]
+    masks = split_masks(0, max_bits + 1)
+    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
     found: DataFrame | None = None
-    todo, masks = distinct.select("fp", F.lit(0).cast("long").alias("mask")), [0]
-    while masks:
-        finer = {signed(m): [signed(x) for x in split_masks(m, max_bits + 1)] for m in masks}
-        table = F.create_map(*(F.lit(x) for m, fine in finer.items() for x in (m, F.array(*map(F.lit, fine)))))
-        keyed = todo.select("fp", F.explode(table[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = keyed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit)
-        large = common.written(sizes, "large-groups")
-        masks = [r["mask"] % (1 << 64) for r in large.select("mask").distinct().collect()]  # a few bit masks, whatever the input
-        groups = (keyed.join(large, ["mask", "bits"], "left_anti") if masks else keyed).groupBy("mask", "bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-        pairs = groups.select("fps").mapInArrow(run, "a long, b long")
+    for last in (False, True):
+        large = common.written(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit), "large-groups")
+        if large.isEmpty():
+            pairs = grouped(keyed, keys)
+            return pairs if found is None else found.unionByName(pairs)
+        pairs = grouped(keyed.join(large, keys, "left_anti"), keys)
         found = pairs if found is None else found.unionByName(pairs)
-        if masks:
-            todo = common.written(keyed.join(large.select("mask", "bits"), ["mask", "bits"], "left_semi").select("fp", "mask"), "large-group-members")
-    return found
+        members = common.written(keyed.join(large, keys), "large-group-members")
+        if not last:
+            finer = F.create_map(*(F.lit(x) for m in masks for x in (signed(m), F.array(*(F.lit(signed(f)) for f in split_masks(m, max_bits + 1))))))
+            keyed = members.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+    # what is large even so is one crowd of near fingerprints: its chunks meet pairwise, each pair in a task of its own
+    count = F.ceil(F.col("n") * 2 / group_limit).cast("int")
+    chunk = F.pmod(F.xxhash64("fp"), count).cast("int")
+    met = members.select("fp", *keys, chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    met = met.select("fp", *keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    return found.unionByName(grouped(met, [*keys, "low", "high"]))
 
 
 def classes(prints: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024) -> DataFrame:
