@@ -27,7 +27,8 @@ SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205
 def canonical(text: Column) -> Column:
     """NFKC, case and white space folded. ICU is among Spark's own libraries."""
     composed = F.when(text.rlike(r"[^\x00-\x7F]"), F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(F.upper(composed)), SPACE, " "))
+    # white space is folded between the two, as the optimiser would drop the upper case of lower(upper(x))
+    return F.trim(F.lower(F.regexp_replace(F.upper(composed), SPACE, " ")))
 
 
 def wide(canon: Column) -> Column:
