@@ -43,9 +43,10 @@ class Node:
         self.children: list[Node] = []
 
 
-def build(points: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray | None = None) -> Node:
+def build(points: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray | None = None, loose: int = 0) -> Node:
     """Balls of shrinking radius: each level's centres are points far from each other
-    (farthest-point order), and every point goes to the nearest of them."""
+    (farthest-point order), and every point goes to the nearest of them. Up to ``loose``
+    rows stay together where parting them would leave balls nearly as wide."""
     node = Node(points, rows, points[rows].mean(0) if centre is None else centre)
     if len(rows) <= leaf or node.radius < 1e-5:
         return node
@@ -63,7 +64,9 @@ def build(points: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray |
         seeds.append(far)
     if len(seeds) == 1:
         return node
-    node.children = [build(points, rows[nearest == s], leaf, own[seed]) for s, seed in enumerate(seeds) if (nearest == s).any()]
+    node.children = [build(points, rows[nearest == s], leaf, own[seed], loose) for s, seed in enumerate(seeds) if (nearest == s).any()]
+    if len(rows) <= loose and max(c.radius for c in node.children) > 0.7 * node.radius:
+        node.children = []
     return node
 
 
@@ -81,7 +84,7 @@ class Search:
 
     def run(self) -> None:
         if len(self.q) and len(self.x):
-            self.descend(build(self.q, np.arange(len(self.q)), 32), [build(self.x, np.arange(len(self.x)), LEAF)])
+            self.descend(build(self.q, np.arange(len(self.q)), 4, loose=32), [build(self.x, np.arange(len(self.x)), LEAF)])
 
     def descend(self, q: Node, nodes: list[Node]) -> None:
         if q.children:
