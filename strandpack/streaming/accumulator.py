@@ -8,9 +8,12 @@ not be dealt out. ``batch_twin`` gives the same frames from a finished table.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -32,6 +35,8 @@ class Accumulator(StatefulProcessor):
         self.seq = handle.getValueState("seq", "n long")
 
     def _frames(self, key, values: list[int], everything: bool):
+        from strandpack.functions import codec
+
         seq = self.seq.get()[0] if self.seq.exists() else 0
         rows = []
         while len(values) >= self.target or (everything and values):
@@ -65,6 +70,8 @@ class Accumulator(StatefulProcessor):
 def accumulate(stream: DataFrame, target: int, deadline_ms: int | None = None) -> DataFrame:
     """A streaming (key, ord, tie, v) to frames; state lives in RocksDB."""
     spark = stream.sparkSession
+    # the state's planning worker does not get the files that executors are sent
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return stream.groupBy("key").transformWithStateInPandas(Accumulator(target, deadline_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if deadline_ms else "None")
 
