@@ -46,7 +46,7 @@ class Node:
 def build(points: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray | None = None, loose: int = 0) -> Node:
     """Balls of shrinking radius: each level's centres are points far from each other
     (farthest-point order), and every point goes to the nearest of them. Up to ``loose``
-    rows stay together where parting them would leave balls nearly as wide."""
+    rows stay together unless parting them gives a much smaller ball of several."""
     node = Node(points, rows, points[rows].mean(0) if centre is None else centre)
     if len(rows) <= leaf or node.radius < 1e-5:
         return node
@@ -65,7 +65,7 @@ def build(points: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray |
     if len(seeds) == 1:
         return node
     node.children = [build(points, rows[nearest == s], leaf, own[seed], loose) for s, seed in enumerate(seeds) if (nearest == s).any()]
-    if len(rows) <= loose and max(c.radius for c in node.children) > 0.7 * node.radius:
+    if len(rows) <= loose and not any(len(c.rows) > 1 and c.radius <= 0.7 * node.radius for c in node.children):
         node.children = []
     return node
 
