@@ -11,6 +11,12 @@ blocks once more, which again loses no link. What is above the limit even then i
 crowd of near fingerprints; it is cut in chunks, and every two chunks meet in a task of
 their own. A group gives a spanning forest of its links, never all pairs.
 
+One 64-bit fingerprint cannot decide a Jaccard similarity of 0.8, where about ten bits
+differ. ``keep_first`` therefore takes several families of fingerprints, mixed from the
+same shingle hashes: a pair that is near in any family is a candidate, and it is linked
+if the bits that differ in all families together are no more than the similarity lets
+one expect.
+
 Defined cases: a text without words (null and empty too) has fingerprint 0 and is linked
 like any other; with fewer words than a shingle the whole sequence is the only shingle;
 repeated rows share their fingerprint and component; null ids never name a component
@@ -19,6 +25,8 @@ unless it has no other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +36,8 @@ from pyspark.sql import types as T
 from strandpack.llm import common, graph
 
 SEED, MAX_BITS, PIVOTS = 42, 4, 24
+#: For a similarity of 0.8: families of fingerprints, and the bits by which candidates may differ in one of them.
+FAMILIES, FAMILY_BITS = 4, 6
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -61,15 +71,37 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row's whole text; fp is signed."""
+def family(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of family ``k``: those given for 0, else these mixed anew (a 64-bit finaliser after an offset)."""
+    if not k:
+        return hashes
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def expected_bits(similarity: float) -> int:
+    """Bits of 64 that are expected to differ at a Jaccard similarity of shingle sets alike in size, rounded up."""
+    return math.ceil(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", families: int = 1) -> DataFrame:
+    """(doc_id, fp) of every row's whole text; fp is signed. With several ``families``
+    also their array ``sketch``, which fp begins."""
     common.bound_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    if families > 1:
+        schema = schema.add("sketch", T.ArrayType(T.LongType()))
 
     def run(batches):
         for b in batches:
-            fps = [majority(np.array(shingle_hashes(t, width), np.uint64)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            sketches = []
+            for t in b.column(1).to_pylist():
+                hashes = np.array(shingle_hashes(t, width), np.uint64)
+                sketches.append([majority(family(hashes, k)) for k in range(families)])
+            columns = [b.column(0), pa.array([x[0] for x in sketches], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(sketches, pa.list_(pa.int64()))] if families > 1 else [])], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -125,8 +157,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024) -> DataFrame:
-    """(a, b): links that connect the fingerprints ``fp`` at ``max_bits`` or less as all such links would."""
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024, total_bits: int | None = None) -> DataFrame:
+    """(a, b): links that connect the fingerprints ``fp`` at ``max_bits`` or less as all such links would.
+
+    If ``distinct`` has a ``sketch``, a link needs ``max_bits`` or less in one of its
+    families and ``total_bits`` or less in all of them; links name the first family's.
+    """
     spark = distinct.sparkSession
     common.bound_batches(spark)
 
@@ -134,20 +170,35 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024
         refs = pivots()
         for batch in batches:
             a, b = [], []
-            for group in batch.column(0):
-                fps = np.sort(group.values.to_numpy().astype(np.int64))
-                root = forest(len(fps), *near_pairs(fps.view(np.uint64), refs, max_bits))
+            for r, group in enumerate(batch.column(0)):
+                if sketched:
+                    rows = group.values.flatten().to_numpy().reshape(len(group.values), -1)
+                    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+                    fps, wide = rows[:, 0], rows.view(np.uint64)
+                    i, j = near_pairs(np.ascontiguousarray(wide[:, batch.column(1)[r].as_py()]), refs, max_bits)
+                    near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= total_bits
+                    root = forest(len(fps), i[near], j[near])
+                else:
+                    fps = np.sort(group.values.to_numpy().astype(np.int64))
+                    root = forest(len(fps), *near_pairs(fps.view(np.uint64), refs, max_bits))
                 own = np.flatnonzero(root != np.arange(len(fps)))
                 a.append(fps[own])
                 b.append(fps[root[own]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [np.zeros(0, np.int64)])), pa.array(np.concatenate(b or [np.zeros(0, np.int64)]))], ["a", "b"])
 
     def grouped(keyed: DataFrame, keys: list[str]) -> DataFrame:
-        return keyed.groupBy(*keys).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps").mapInArrow(run, "a long, b long")
-
-    keys = ["mask", "bits"]
+        gathered = keyed.groupBy(*keys).agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1)
+        return gathered.select("members", *families).mapInArrow(run, "a long, b long")
+
+    sketched = "sketch" in distinct.columns
+    # the fingerprint of each family deals the whole sketch, which its group verifies
+    member, families = ("sketch", ["family"]) if sketched else ("fp", [])
+    row = list(dict.fromkeys(["fp", member]))
+    if sketched:
+        distinct = distinct.select("sketch", F.posexplode("sketch").alias("family", "fp"))
+    keys = [*families, "mask", "bits"]
     masks = split_masks(0, max_bits + 1)
-    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+    keyed = distinct.select(*row, *families, F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
     found: DataFrame | None = None
     for last in (False, True):
         large = common.written(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit), "large-groups")
@@ -159,19 +210,20 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024
         members = common.written(keyed.join(large, keys), "large-group-members")
         if not last:
             finer = F.create_map(*(F.lit(x) for m in masks for x in (signed(m), F.array(*(F.lit(signed(f)) for f in split_masks(m, max_bits + 1))))))
-            keyed = members.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+            keyed = members.select(*row, *families, F.explode(finer[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
     # what is large even so is one crowd of near fingerprints: its chunks meet pairwise, each pair in a task of its own
     count = F.ceil(F.col("n") * 2 / group_limit).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), count).cast("int")
-    met = members.select("fp", *keys, chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    met = met.select("fp", *keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    chunk = F.pmod(F.xxhash64(member), count).cast("int")
+    met = members.select(member, *keys, chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    met = met.select(member, *keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     return found.unionByName(grouped(met, [*keys, "low", "high"]))
 
 
-def classes(prints: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024) -> DataFrame:
-    """(fp, component_id) for every distinct fp of (doc_id, fp)."""
-    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
-    roots = graph.components(links(distinct, max_bits, group_limit))
+def classes(prints: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024, total_bits: int | None = None) -> DataFrame:
+    """(fp, component_id) for every distinct fp of (doc_id, fp[, sketch]); the smallest sketch stands for an fp."""
+    sketch = [F.min("sketch").alias("sketch")] if "sketch" in prints.columns else []
+    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *sketch), "fingerprints")
+    roots = graph.components(links(distinct, max_bits, group_limit, total_bits))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
     rooted = common.written(rooted, "roots")
     names = common.written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
@@ -185,14 +237,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS, i
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", families: int = FAMILIES, max_bits: int = FAMILY_BITS) -> DataFrame:
     """The documents, all columns unchanged, but for those with a near-duplicate of a smaller id.
 
+    Near-duplicates differ by ``max_bits`` or less in one of ``families`` fingerprints, and
+    in all together by what ``similarity`` (Jaccard, of shingles) lets one expect.
     Only the ids to drop are joined to the texts. Of rows that repeat an id one stays;
     rows without an id are compared with each other for equal texts.
     """
-    prints = common.written(fingerprints(docs.filter(F.col(id_col).isNotNull()), width, id_col, text_col), "prints")
-    found = prints.join(classes(prints, max_bits), "fp")
+    prints = common.written(fingerprints(docs.filter(F.col(id_col).isNotNull()), width, id_col, text_col, families), "prints")
+    found = prints.select("doc_id", "fp").join(classes(prints, max_bits, total_bits=families * expected_bits(similarity)), "fp")
     drop = common.written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "dropped-ids")
     again = common.written(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
     kept = docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
