@@ -176,7 +176,10 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024
                     rows = rows[np.argsort(rows[:, 0], kind="stable")]
                     fps, wide = rows[:, 0], rows.view(np.uint64)
                     i, j = near_pairs(np.ascontiguousarray(wide[:, batch.column(1)[r].as_py()]), refs, max_bits)
-                    near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= total_bits
+                    total = np.zeros(len(i), np.int16)
+                    for column in wide.T:  # one family at a time keeps the arrays small
+                        total += np.bitwise_count(column[i] ^ column[j])
+                    near = total <= total_bits
                     root = forest(len(fps), i[near], j[near])
                 else:
                     fps = np.sort(group.values.to_numpy().astype(np.int64))
