@@ -11,11 +11,12 @@ blocks once more, which again loses no link. What is above the limit even then i
 crowd of near fingerprints; it is cut in chunks, and every two chunks meet in a task of
 their own. A group gives a spanning forest of its links, never all pairs.
 
-One 64-bit fingerprint cannot decide a Jaccard similarity of 0.8, where about ten bits
-differ. ``keep_first`` therefore takes several families of fingerprints, mixed from the
-same shingle hashes: a pair that is near in any family is a candidate, and it is linked
-if the bits that differ in all families together are no more than the similarity lets
-one expect.
+Fingerprints cannot decide a Jaccard similarity of 0.8, where about ten bits of 64 differ.
+``keep_first`` therefore compares the sets of distinct shingles. Sets that agree in a band
+of minima (MinHash) are candidates; the groups that candidates connect are gathered, and
+in each group all pairs are compared by their exact similarity. Groups above ``set_limit``
+shingles are cut in chunks, and every two chunks meet in a task of their own, so that a
+pair is lost only if no chain of candidates connects it.
 
 Defined cases: a text without words (null and empty too) has fingerprint 0 and is linked
 like any other; with fewer words than a shingle the whole sequence is the only shingle;
@@ -36,8 +37,10 @@ from pyspark.sql import types as T
 from strandpack.llm import common, graph
 
 SEED, MAX_BITS, PIVOTS = 42, 4, 24
-#: For a similarity of 0.8: families of fingerprints, and the bits by which candidates may differ in one of them.
-FAMILIES, FAMILY_BITS = 4, 6
+#: Bands of minima, and minima in a band: a pair of similarity 0.8 agrees in no band with a probability of 0.00007.
+BANDS, BAND_ROWS = 24, 5
+#: Distinct shingles that are compared in one task.
+SET_LIMIT = 1 << 19
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -240,16 +243,141 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS, i
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", families: int = FAMILIES, max_bits: int = FAMILY_BITS) -> DataFrame:
+def distinct_shingles(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A signed 64-bit digest of a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return signed(xxh64_intdigest(shingles.tobytes(), SEED))
+
+
+def band_factors() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors that mix shingles for each minimum, and that join the minima of a band."""
+    from xxhash import xxh64_intdigest
+
+    n = BANDS * BAND_ROWS
+    odd = np.array([xxh64_intdigest(b"band%d" % i, SEED) | 1 for i in range(2 * n)], np.uint64)
+    return odd[:n], odd[n:].reshape(BANDS, BAND_ROWS)
+
+
+def band_keys(shingles: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One key of every band; sets of similarity s agree in a key with probability s to the power ``BAND_ROWS``."""
+    mix, join = factors
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(len(mix), np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(shingles), 512):
+        z = shingles[s : s + 512, None] * mix
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, z.min(0), out=least)
+    return (least.reshape(join.shape) * join).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest index that each set reaches by pairs of ``similarity`` or more; all pairs count."""
+    root, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = [flat[e - n : e] for e, n in zip(ends, sizes)]
+    mark = np.zeros(len(values), bool)
+    left = np.arange(len(sets))
+    while len(left):
+        first, left = left[0], left[1:]
+        flat, reached = flat[sizes[first] :], [first]
+        while reached and len(left):
+            x = reached.pop()
+            mark[own[x]] = True
+            shared = np.add.reduceat(mark[flat], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+            mark[own[x]] = False
+            near = shared + 1e-9 >= similarity * (sizes[x] + sizes[left] - shared)
+            if near.any():
+                root[left[near]] = first
+                reached += left[near].tolist()
+                flat = flat[np.repeat(~near, sizes[left])]
+                left = left[~near]
+    return root
+
+
+def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, size, bands) of every row: the name of its set of shingles, their number, and the band keys."""
+    common.bound_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        factors = band_factors()
+        for b in batches:
+            sets = [distinct_shingles(t, width) for t in b.column(1).to_pylist()]
+            columns = [pa.array(map(set_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([band_keys(x, factors) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(node, root) of all sets (node, size, bands) that agree in a band with another one, in the groups that these connect."""
+    keyed = distinct.select("node", F.explode("bands").alias("key"))
+    shared = common.written(keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared-bands")
+    found = graph.components(keyed.join(shared, "key").select(F.col("node").alias("a"), "b"))
+    return common.written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+
+
+def alike_links(docs: DataFrame, distinct: DataFrame, width: int, similarity: float, text_col: str, set_limit: int) -> DataFrame:
+    """(a, b): links that connect the sets of ``distinct`` as all pairs of ``similarity`` or more do in each candidate group."""
+    common.bound_batches(docs.sparkSession)
+
+    def read(batches):
+        seen = set()  # copies in a task are passed on once
+        for b in batches:
+            rows = []
+            for t in b.column(0).to_pylist():
+                x = distinct_shingles(t, width)
+                if (name := set_name(x)) not in seen:
+                    seen.add(name)
+                    rows.append((name, x.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
+
+    def run(batches):
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for group in batch.column(0):
+                names, sets = group.values.flatten()
+                nodes, at = np.unique(names.to_numpy(), return_index=True)
+                root = alike([np.frombuffer(sets[int(k)].as_buffer(), np.uint64) for k in at], similarity)
+                own = np.flatnonzero(root != np.arange(len(nodes)))
+                a.append(nodes[own])
+                b.append(nodes[root[own]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    groups = common.written(candidates(distinct).join(distinct.select("node", "size"), "node"), "candidate-sizes")
+    chunks = groups.groupBy("root").agg(F.sum("size").alias("total"))
+    chunks = chunks.select("root", F.when(F.col("total") > set_limit, F.ceil(F.col("total") * 2 / set_limit)).otherwise(1).cast("int").alias("count"))
+    met = groups.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("count")).cast("int"))
+    met = met.select("node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
+    met = common.written(met.select("node", "root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")), "meetings")
+    gathered = docs.select(text_col).mapInArrow(read, "node long, shingles binary").join(met, "node")
+    gathered = gathered.groupBy("root", "low", "high").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    return gathered.select("members").mapInArrow(run, "a long, b long")
+
+
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
     """The documents, all columns unchanged, but for those with a near-duplicate of a smaller id.
 
-    Near-duplicates differ by ``max_bits`` or less in one of ``families`` fingerprints, and
-    in all together by what ``similarity`` (Jaccard, of shingles) lets one expect.
+    Near-duplicates are connected by pairs of ``similarity`` or more: the Jaccard
+    similarity of their distinct shingles of ``width`` words.
     Only the ids to drop are joined to the texts. Of rows that repeat an id one stays;
     rows without an id are compared with each other for equal texts.
     """
-    prints = common.written(fingerprints(docs.filter(F.col(id_col).isNotNull()), width, id_col, text_col, families), "prints")
-    found = prints.select("doc_id", "fp").join(classes(prints, max_bits, total_bits=families * expected_bits(similarity)), "fp")
+    named = docs.filter(F.col(id_col).isNotNull())
+    prints = common.written(shingle_sets(named, width, id_col, text_col), "prints")
+    distinct = common.written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "sets")
+    roots = graph.components(alike_links(named, distinct, width, similarity, text_col, set_limit)).withColumnRenamed("node", "a")
+    rooted = common.written(distinct.join(roots, F.col("node") == F.col("a"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
+    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = prints.select("doc_id", "node").join(rooted.select("node", "root").join(names, "root"), "node")
     drop = common.written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "dropped-ids")
     again = common.written(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
     kept = docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")

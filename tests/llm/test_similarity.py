@@ -136,6 +136,42 @@ def test_keep_first_keeps_one_of_a_group_and_all_columns(spark):
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def slow_kept(texts, width=5, least=0.8):
+    """The smallest id of each group that pairs of ``least`` or more connect, ids being positions."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    find = lambda k: k if root[k] == k else find(root[k])
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+                hi, lo = max(find(a), find(b)), min(find(a), find(b))
+                root[hi] = lo
+    return {k for k in range(len(sets)) if find(k) == k}
+
+
+def kept_ids(spark, texts, **kw):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.keep_first(df, **kw).collect()}
+
+
+@pytest.mark.parametrize("limit", [simhash.SET_LIMIT if hasattr(simhash, "SET_LIMIT") else None, 900])
+def test_near_copies_at_the_threshold_by_brute_force(spark, limit):
+    """Pairs from 0.70 to 0.90, most of them about 0.8; a small limit cuts groups in chunks."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(150):
+        base, other = ([f"{x}{k}_{i}" for i in range(204)] for x in "ab")
+        cut = int(rng.integers(10, 36))
+        texts += [" ".join(base), " ".join(base[: 204 - cut] + other[:cut])]
+    texts += [" ".join(f"c{i}" for i in range(n, n + 120)) for n in range(0, 130, 13)]
+    want = slow_kept(texts)
+    assert kept_ids(spark, texts, **({"set_limit": limit} if limit else {})) == want
+    assert 30 < len(texts) - len(want) < 150
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
