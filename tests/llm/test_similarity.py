@@ -172,6 +172,13 @@ def test_near_copies_at_the_threshold_by_brute_force(spark, limit):
     assert 30 < len(texts) - len(want) < 150
 
 
+def test_a_repeated_line_alone_links_nothing(spark):
+    """Shingles that repeat count once: these texts have a similarity of 0.1 or less."""
+    line = " ".join(f"s{i}" for i in range(24))
+    texts = [" ".join([line] * 20 + [f"w{k}_{i}" for i in range(n)]) for k, n in enumerate([100, 200] * 10)]
+    assert kept_ids(spark, texts) == set(range(20)) == slow_kept(texts)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
