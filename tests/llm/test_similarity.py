@@ -179,6 +179,18 @@ def test_a_repeated_line_alone_links_nothing(spark):
     assert kept_ids(spark, texts) == set(range(20)) == slow_kept(texts)
 
 
+def test_equal_fingerprints_are_compared_and_keep_their_links(spark):
+    """One fingerprint for all texts, which are near copies only two by two."""
+    line = " ".join(f"s{i}" for i in range(25))
+    texts = []
+    for k in range(12):
+        own = [f"w{k}_{i}" for i in range(100)]
+        texts += [" ".join([line] * 400 + own), " ".join([line] * 400 + own + ["more"] * 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.fingerprints(df, 5).select("fp").distinct().count() == 1
+    assert kept_ids(spark, texts) == set(range(0, 24, 2)) == slow_kept(texts)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
