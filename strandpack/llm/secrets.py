@@ -3,8 +3,10 @@
 Base patterns find assignments, access keys and long hexadecimal runs. Beyond these,
 runs of key-like characters are tokenised with a byte-level BPE vocabulary: ordinary
 words take few tokens, random strings many, so a low number of characters per token
-marks a secret. Known digests (hexadecimal of a digest's length, UUIDs) and identifiers
-(words, numbers and names made of them) are set aside first.
+marks a secret. Known digests (hexadecimal of a digest's length, UUIDs) are set aside first.
+Of runs shaped as identifiers (pieces in one case or capitalised, numbers, and signs that
+join them) only the letters count, so that joined words and dates are none; numbers with
+fewer letters than digits are set aside.
 
 Defined cases: a null text is empty; a text without findings has empty spans; positions
 are code points with an exclusive end; repeated rows are scanned each for itself.
@@ -33,6 +35,7 @@ KEYLIKE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\Z", re.I)
 #: Words in one case or capitalised, and numbers, joined by the signs that names and paths use.
 IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*\Z|[-_/+=]+\Z")
+LETTERS, DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]")
 CHARS_PER_TOKEN = 2.0
 
 
@@ -57,14 +60,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def inefficient(run: str, enc, chars_per_token: float) -> bool:
+    """Whether the run has too few characters per token for words, names or numbers."""
+    pieces = [run]
+    if IDENTIFIER.match(run):
+        pieces = LETTERS.findall(run)
+        if sum(map(len, pieces)) < len(DIGITS.findall(run)):
+            return False
+    return sum(map(len, pieces)) < chars_per_token * sum(len(enc.encode_ordinary(x)) for x in pieces)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], enc, chars_per_token: float) -> list[tuple[int, int, str]]:
     out = []
     for m in KEYLIKE.finditer(text):
         s, e = m.span()
         run = m.group()
-        if DIGEST.match(run) or IDENTIFIER.match(run) or any(a < e and s < b for a, b, _ in taken):
+        if DIGEST.match(run) or any(a < e and s < b for a, b, _ in taken):
             continue
-        if len(run) < chars_per_token * len(enc.encode_ordinary(run)):
+        if inefficient(run, enc, chars_per_token):
             out.append((s, e, "random"))
     return out
 

@@ -155,6 +155,18 @@ def test_token_efficiency_finds_random_strings_only(spark):
     assert kinds("DA39A3EE5E6B4B0D3255BFEF95601890AFD80709") == []
 
 
+def test_random_strings_in_one_case_are_found(spark):
+    enc = secrets.encoding(secrets.default_vocabulary())
+    kinds = lambda t: [x[2] for x in secrets.find(t, enc)[1]]
+    for run in ("xkqjzvwpqrtyuioplkjhgfdw", "XKQJZVWPQRTYUIOPLKJHGFDW", "QZXKV-WPMBT-RNHGD-LFYSC", "QZXKV-2749-WPMBT-RNHGD"):
+        assert kinds(f"key {run} end") == ["random"], run
+    rng = np.random.default_rng(7)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        assert sum(kinds("".join(rng.choice(list(letters), 32))) == ["random"] for _ in range(300)) > 280
+    names = ["MAX_RETRY_COUNT_LIMIT", "2024-01-05-report-final-17", "REPRESENTATIVENESS_CONFIGURATION", "2024-01-01_12-30-00_0001", "internationalization", "____________________----", "Donaudampfschifffahrtsgesellschaft"]
+    assert [n for n in names if kinds(n)] == []
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "a token=abcdef123 b", 19, "x"), (2, None, None, "y"), (3, "clean", 5, None), (3, "clean", 5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
