@@ -70,15 +70,25 @@ def inefficient(run: str, enc, chars_per_token: float) -> bool:
     return sum(map(len, pieces)) < chars_per_token * sum(len(enc.encode_ordinary(x)) for x in pieces)
 
 
-def random_spans(text: str, taken: list[tuple[int, int, str]], enc, chars_per_token: float) -> list[tuple[int, int, str]]:
+def uncovered(s: int, e: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of [s, e) outside the ``taken`` spans, which are in order."""
     out = []
+    for a, b, _ in taken:
+        if a < e and s < b:
+            out.append((s, a))
+            s = b
+    return [(x, y) for x, y in [*out, (s, e)] if x < y]
+
+
+def random_spans(text: str, taken: list[tuple[int, int, str]], enc, chars_per_token: float) -> list[tuple[int, int, str]]:
+    out, taken = [], sorted(taken)
     for m in KEYLIKE.finditer(text):
-        s, e = m.span()
-        run = m.group()
-        if DIGEST.match(run) or any(a < e and s < b for a, b, _ in taken):
+        if DIGEST.match(m.group()):
             continue
-        if inefficient(run, enc, chars_per_token):
-            out.append((s, e, "random"))
+        for s, e in uncovered(*m.span(), taken):
+            run = text[s:e]
+            if KEYLIKE.match(run) and not DIGEST.match(run) and inefficient(run, enc, chars_per_token):
+                out.append((s, e, "random"))
     return out
 
 
