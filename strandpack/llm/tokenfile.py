@@ -12,17 +12,24 @@ Documents are dealt to ascending id ranges, tokenised and packed where they are
 so that the parts, one after the other, are the whole stream in order.
 
 Tokenising: the vocabulary's words do not depend on each other, so the library's model
-turns each distinct word into ids once and a bounded cache keeps them; texts with
-characters beyond Latin script and general punctuation, or with special tokens, go to
-the library whole, since there case folding or matching looks across words.
+turns each distinct part of a batch's words into ids once, and Arrow puts them in the
+words' places. A worker keeps parts of earlier batches as flat arrays of at most ``KEPT_BYTES``,
+besides the library's model. Texts with characters beyond Latin script and general
+punctuation, or with special tokens, go to the library whole, since there case folding or
+matching looks across words.
 
 Defined cases: null and empty texts have the end id only; repeated ids follow each other
-by text; null ids come first; an empty table writes no block.
+by text, ties of both are alike in every column; null ids come first; ids of any type
+that casts to a long keep their order as longs, others are refused; a very long text is a
+block of its own; extra columns are left out, whatever their names; an empty table writes
+no block and reads back as an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import string
 import struct
 import sys
 import types
@@ -31,6 +38,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +50,9 @@ HEADER = struct.Struct("<4sHHIQ")  # magic, version, bits, documents, ids
 END_ID = 1
 #: Outside these, texts are encoded whole.
 UNCOMMON = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\u0130|<\\|(?:start|end)oftext\\|>")
-CACHE_WORDS = 500_000
+#: Of the parts that a worker keeps.
+KEPT_BYTES = 24 << 20
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 # -- bits ---------------------------------------------------------------------------
@@ -122,29 +132,60 @@ def byte_letters() -> list[str]:
     return [hidden.get(b, chr(b)) for b in range(256)]
 
 
-class Words(dict):
-    """Word -> ids as bytes; what is missing is made by ``make`` and kept up to ``limit`` words."""
+def plain(text: str) -> bool:
+    """Whether the words of the text are independent, and folded alike here and in the library."""
+    if text.isascii():
+        return "<|" not in text and not any(c in text for c in SEPARATORS)
+    return not UNCOMMON.search(text)
 
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+def put_together(offsets: np.ndarray, flat: np.ndarray, which: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lists (``offsets`` into ``flat``) at the places ``which``, end to end: (offsets, flat)."""
+    taken = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat)).take(which)
+    return taken.offsets.to_numpy(), taken.flatten().to_numpy()
+
+
+class Known:
+    """Lists of ids by name, in flat arrays of at most about ``most_bytes``: ``make`` gives
+    those of new names as (offsets, flat); beyond the bound the table starts anew."""
+
+    def __init__(self, make, most_bytes: int):
+        self.make, self.most_bytes = make, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.ends, self.flat = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def ids(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct names: (offsets, flat ids)."""
+        at = pc.index_in(names, value_set=self.names)
+        is_new = pc.is_null(at)
+        new, where = names.filter(is_new), pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        ends, flat = self.make(new)
+        if not len(self.names):
+            found = ends, flat
+        else:
+            where[is_new.to_numpy(zero_copy_only=False)] = len(self.names) + np.arange(len(new))
+            ends, flat, new = np.concatenate([self.ends, self.ends[-1] + ends[1:]]), np.concatenate([self.flat, flat]), pa.concat_arrays([self.names, new])
+            found = put_together(ends, flat, pa.array(where))
+        if new.nbytes + ends.nbytes + flat.nbytes > self.most_bytes:
             self.clear()
-        self[word] = got = self.make(word)
-        return got
+        else:
+            self.names, self.ends, self.flat = new, ends, flat
+        return found
 
 
 class WordEncoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does, word by word.
 
     Of the library's chain, the folding and the cuts between words are done here (for
-    the characters where both agree), and its model turns each new word into ids.
+    the characters where both agree), and its model turns each distinct part into ids.
     """
 
     # Fixed value: the vocabulary's own pattern of words.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LETTERS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
+    SIGNS = string.punctuation
 
     def __init__(self, path: str):
         import os
@@ -156,30 +197,53 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.model, self.letters = self.library.model, byte_letters()
         self.cut = regex.compile(self.PATTERN).findall
-        self.parts = Words(self.part, CACHE_WORDS)
-        self.words = Words(self.word, CACHE_WORDS)
+        self.known = Known(self.tokenized, KEPT_BYTES)
 
-    def part(self, part: str) -> bytes:
+    def part(self, part: str) -> list[int]:
         raw = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
-        return struct.pack(f"<{len(got)}I", *got) if (got := [t.id for t in self.model.tokenize(raw)]) else b""
-
-    def word(self, word: str) -> bytes:
-        low = unicodedata.normalize("NFC", word).lower()
-        if low.isalpha():
-            return self.parts[low]
-        if low[-1:] in ",." and low[:-1].isalpha():
-            return self.parts[low[:-1]] + self.parts[low[-1]]
-        return b"".join(map(self.parts.__getitem__, self.cut(low)))
+        return [t.id for t in self.model.tokenize(raw)]
+
+    def tokenized(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.part(p) for p in parts.to_pylist()]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        return ends, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(ends[-1]))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words: (offsets, flat ids)."""
+        low = pc.utf8_lower(words)
+        # letters with signs behind them, the common case, are two parts; the pattern cuts the others
+        stem, rest = pc.utf8_rtrim(low, self.SIGNS), pc.utf8_ltrim(low, self.LETTERS)
+        simple = pc.equal(pc.add(pc.binary_length(stem), pc.binary_length(rest)), pc.binary_length(low))
+        simple = pc.and_(simple, pc.equal(pc.utf8_rtrim(rest, self.SIGNS), ""))
+        others = [self.cut(w) for w in low.filter(pc.invert(simple)).to_pylist()]
+        pairs = [stem.filter(simple), rest.filter(simple)]
+        n = len(pairs[0])
+        parts = pa.concat_arrays([*pairs, pa.array(itertools.chain.from_iterable(others), pa.large_string())]).dictionary_encode()
+        places = parts.indices.to_numpy()
+        places = np.concatenate([np.stack([places[:n], places[n : 2 * n]], 1).reshape(-1), places[2 * n :]])
+        ends = np.concatenate([np.arange(0, 2 * n + 1, 2), 2 * n + np.cumsum(np.fromiter(map(len, others), np.int64, len(others)))])
+        part_ends, flat = put_together(*self.known.ids(parts.dictionary), pa.array(places))
+        # back to the words' order: the simple ones came first
+        order = np.argsort(~simple.to_numpy(zero_copy_only=False), kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return put_together(part_ends[ends], flat, pa.array(back))
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of plain texts: distinct words, of these distinct parts, of these ids; and back."""
+        split = pc.utf8_split_whitespace(pa.array([unicodedata.normalize("NFC", t) for t in texts], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ends, flat = put_together(*self.words(words.dictionary), words.indices)
+        cuts = ends[split.offsets.to_numpy()]
+        return [flat[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        end, known = struct.pack("<I", end_id), self.words.__getitem__
-        out = []
-        for text in texts:
-            if text and UNCOMMON.search(text):
-                out.append(np.array([*self.library.encode(text, add_special_tokens=False).ids, end_id], np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join([*map(known, (text or "").split()), end]), "<u4"))
-        return out
+        texts = [t or "" for t in texts]
+        easy = [k for k, t in enumerate(texts) if plain(t)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for k, ids in zip(easy, self.encode_plain([texts[k] for k in easy])):
+            out[k] = np.append(ids, np.uint32(end_id))
+        return [np.array([*self.library.encode(t, add_special_tokens=False).ids, end_id], np.uint32) if ids is None else ids for t, ids in zip(texts, out)]
 
 
 # -- files --------------------------------------------------------------------------
