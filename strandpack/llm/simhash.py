@@ -3,9 +3,10 @@
 Every text gets a 64-bit fingerprint: each bit is the majority over the XXH64 hashes of
 its word shingles. Distinct fingerprints are dealt to groups that agree on a block of
 bits: of five blocks at least one is free of differences when at most four bits differ,
-so no link is lost. In a group the Hamming distances to many reference fingerprints
-(pivots) are tabulated; by the triangle inequality a pair whose coordinates differ by
-more than the limit anywhere is discarded, and the survivors are verified. Groups above
+so no link is lost. The Hamming distances of each distinct fingerprint to many reference
+fingerprints (pivots) are tabulated beforehand; by the triangle inequality a pair of a group
+whose coordinates differ by more than the limit anywhere is discarded, and the survivors
+are verified. Groups above
 ``group_limit`` are split again: the bits that are not agreed on yet are cut in five
 blocks once more, which again loses no link. What is above the limit even then is a
 crowd of near fingerprints; it is cut in chunks, and every two chunks meet in a task of
@@ -21,16 +22,16 @@ pair is lost only if no chain of candidates connects it.
 Defined cases: a text without words (null and empty too) has fingerprint 0 and is linked
 like any other; with fewer words than a shingle the whole sequence is the only shingle;
 repeated rows share their fingerprint and component; null ids never name a component
-unless it has no other; an empty table gives an empty result.
+unless it has no other; very long texts are hashed whole; ties do not arise, as groups are
+named by their smallest id; extra columns are left out by ``near_duplicates`` and kept by
+``keep_first``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,37 +75,15 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
-def family(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The hashes of family ``k``: those given for 0, else these mixed anew (a 64-bit finaliser after an offset)."""
-    if not k:
-        return hashes
-    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def expected_bits(similarity: float) -> int:
-    """Bits of 64 that are expected to differ at a Jaccard similarity of shingle sets alike in size, rounded up."""
-    return math.ceil(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", families: int = 1) -> DataFrame:
-    """(doc_id, fp) of every row's whole text; fp is signed. With several ``families``
-    also their array ``sketch``, which fp begins."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) of every row's whole text; fp is signed."""
     common.bound_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    if families > 1:
-        schema = schema.add("sketch", T.ArrayType(T.LongType()))
 
     def run(batches):
         for b in batches:
-            sketches = []
-            for t in b.column(1).to_pylist():
-                hashes = np.array(shingle_hashes(t, width), np.uint64)
-                sketches.append([majority(family(hashes, k)) for k in range(families)])
-            columns = [b.column(0), pa.array([x[0] for x in sketches], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(sketches, pa.list_(pa.int64()))] if families > 1 else [])], schema.names)
+            prints = [majority(np.array(shingle_hashes(t, width), np.uint64)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -116,9 +95,13 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([0, *(xxh64_intdigest(b"pivot%d" % i, SEED) for i in range(1, n))], np.uint64)
 
 
-def near_pairs(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) at a distance of ``max_bits`` or less."""
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+def distances(fp: Column) -> Column:
+    """The Hamming distances to all pivots."""
+    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(signed(p)))) for p in pivots().tolist())).cast("array<tinyint>")
+
+
+def near_pairs(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) at a distance of ``max_bits`` or less; ``table`` has the distances to the pivots."""
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     # by the first coordinate, sorted, each row has its partners in a run behind it
@@ -129,8 +112,6 @@ def near_pairs(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.nda
     for p in range(1, table.shape[1]):
         keep = np.abs(table[i, p] - table[j, p]) <= max_bits
         i, j = i[keep], j[keep]
-        if len(i) < 64:
-            break
     keep = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
     return order[i[keep]], order[j[keep]]
 
@@ -160,51 +141,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024, total_bits: int | None = None) -> DataFrame:
-    """(a, b): links that connect the fingerprints ``fp`` at ``max_bits`` or less as all such links would.
-
-    If ``distinct`` has a ``sketch``, a link needs ``max_bits`` or less in one of its
-    families and ``total_bits`` or less in all of them; links name the first family's.
-    """
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024) -> DataFrame:
+    """(a, b): links that connect the fingerprints (fp, distances) at ``max_bits`` or less as all such links would."""
     spark = distinct.sparkSession
     common.bound_batches(spark)
 
     def run(batches):
-        refs = pivots()
         for batch in batches:
-            a, b = [], []
-            for r, group in enumerate(batch.column(0)):
-                if sketched:
-                    rows = group.values.flatten().to_numpy().reshape(len(group.values), -1)
-                    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-                    fps, wide = rows[:, 0], rows.view(np.uint64)
-                    i, j = near_pairs(np.ascontiguousarray(wide[:, batch.column(1)[r].as_py()]), refs, max_bits)
-                    total = np.zeros(len(i), np.int16)
-                    for column in wide.T:  # one family at a time keeps the arrays small
-                        total += np.bitwise_count(column[i] ^ column[j])
-                    near = total <= total_bits
-                    root = forest(len(fps), i[near], j[near])
-                else:
-                    fps = np.sort(group.values.to_numpy().astype(np.int64))
-                    root = forest(len(fps), *near_pairs(fps.view(np.uint64), refs, max_bits))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for group in batch.column(0):
+                fps, table = group.values.flatten()
+                fps, table = fps.to_numpy(), table.flatten().to_numpy().reshape(len(fps), -1)
+                order = np.argsort(fps, kind="stable")
+                fps, table = fps[order], table[order]
+                root = forest(len(fps), *near_pairs(fps.view(np.uint64), table, max_bits))
                 own = np.flatnonzero(root != np.arange(len(fps)))
                 a.append(fps[own])
                 b.append(fps[root[own]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [np.zeros(0, np.int64)])), pa.array(np.concatenate(b or [np.zeros(0, np.int64)]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     def grouped(keyed: DataFrame, keys: list[str]) -> DataFrame:
-        gathered = keyed.groupBy(*keys).agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1)
-        return gathered.select("members", *families).mapInArrow(run, "a long, b long")
-
-    sketched = "sketch" in distinct.columns
-    # the fingerprint of each family deals the whole sketch, which its group verifies
-    member, families = ("sketch", ["family"]) if sketched else ("fp", [])
-    row = list(dict.fromkeys(["fp", member]))
-    if sketched:
-        distinct = distinct.select("sketch", F.posexplode("sketch").alias("family", "fp"))
-    keys = [*families, "mask", "bits"]
+        gathered = keyed.groupBy(*keys).agg(F.collect_list(F.struct("fp", "distances")).alias("members")).filter(F.size("members") > 1)
+        return gathered.select("members").mapInArrow(run, "a long, b long")
+
+    row, keys = ["fp", "distances"], ["mask", "bits"]
     masks = split_masks(0, max_bits + 1)
-    keyed = distinct.select(*row, *families, F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+    keyed = distinct.select(*row, F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
     found: DataFrame | None = None
     for last in (False, True):
         large = common.written(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_limit), "large-groups")
@@ -216,20 +178,20 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024
         members = common.written(keyed.join(large, keys), "large-group-members")
         if not last:
             finer = F.create_map(*(F.lit(x) for m in masks for x in (signed(m), F.array(*(F.lit(signed(f)) for f in split_masks(m, max_bits + 1))))))
-            keyed = members.select(*row, *families, F.explode(finer[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+            keyed = members.select(*row, F.explode(finer[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
     # what is large even so is one crowd of near fingerprints: its chunks meet pairwise, each pair in a task of its own
     count = F.ceil(F.col("n") * 2 / group_limit).cast("int")
-    chunk = F.pmod(F.xxhash64(member), count).cast("int")
-    met = members.select(member, *keys, chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    met = met.select(member, *keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    chunk = F.pmod(F.xxhash64("fp"), count).cast("int")
+    met = members.select(*row, *keys, chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    met = met.select(*row, *keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     return found.unionByName(grouped(met, [*keys, "low", "high"]))
 
 
-def classes(prints: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024, total_bits: int | None = None) -> DataFrame:
-    """(fp, component_id) for every distinct fp of (doc_id, fp[, sketch]); the smallest sketch stands for an fp."""
-    sketch = [F.min("sketch").alias("sketch")] if "sketch" in prints.columns else []
-    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *sketch), "fingerprints")
-    roots = graph.components(links(distinct, max_bits, group_limit, total_bits))
+def classes(prints: DataFrame, max_bits: int = MAX_BITS, group_limit: int = 1024) -> DataFrame:
+    """(fp, component_id) for every distinct fp of (doc_id, fp)."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("distances", distances(F.col("fp")))
+    distinct = common.written(distinct, "fingerprints")
+    roots = graph.components(links(distinct, max_bits, group_limit))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
     rooted = common.written(rooted, "roots")
     names = common.written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
@@ -325,20 +287,26 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return common.written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
 
 
-def alike_links(docs: DataFrame, distinct: DataFrame, width: int, similarity: float, text_col: str, set_limit: int) -> DataFrame:
-    """(a, b): links that connect the sets of ``distinct`` as all pairs of ``similarity`` or more do in each candidate group."""
+def alike_links(docs: DataFrame, distinct: DataFrame, width: int, similarity: float, id_col: str, text_col: str, set_limit: int) -> DataFrame:
+    """(a, b): links that connect the sets of ``distinct`` as all pairs of ``similarity`` or more do in each candidate group.
+
+    Each candidate set is read from one document that has it: only these documents meet
+    the second computation of shingles. The texts are shuffled to them at every size.
+    """
     common.bound_batches(docs.sparkSession)
+    more = "node long, root long, meets array<struct<low: int, high: int>>"
 
     def read(batches):
-        seen = set()  # copies in a task are passed on once
         for b in batches:
-            rows = []
-            for t in b.column(0).to_pylist():
-                x = distinct_shingles(t, width)
-                if (name := set_name(x)) not in seen:
-                    seen.add(name)
-                    rows.append((name, x.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
+            names, sets = b.column(1).to_pylist(), [distinct_shingles(t, width) for t in b.column(0).to_pylist()]
+            same = pa.array([set_name(x) == n for x, n in zip(sets, names)], pa.bool_())  # of rows that repeat an id, those with the set
+            shingles = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], shingles], ["node", "root", "meets", "shingles"]).filter(same)
+
+    def read_nameless(batches):
+        for b in batches:
+            sets = [distinct_shingles(t, width) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_name, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
     def run(batches):
         for batch in batches:
@@ -352,37 +320,64 @@ def alike_links(docs: DataFrame, distinct: DataFrame, width: int, similarity: fl
                 b.append(nodes[root[own]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    groups = common.written(candidates(distinct).join(distinct.select("node", "size"), "node"), "candidate-sizes")
+    groups = common.written(candidates(distinct).join(distinct.select("node", "size", "doc_id"), "node"), "candidate-sizes")
     chunks = groups.groupBy("root").agg(F.sum("size").alias("total"))
     chunks = chunks.select("root", F.when(F.col("total") > set_limit, F.ceil(F.col("total") * 2 / set_limit)).otherwise(1).cast("int").alias("count"))
-    met = groups.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("count")).cast("int"))
-    met = met.select("node", "root", "chunk", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
-    met = common.written(met.select("node", "root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")), "meetings")
-    gathered = docs.select(text_col).mapInArrow(read, "node long, shingles binary").join(met, "node")
-    gathered = gathered.groupBy("root", "low", "high").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("count")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda o: F.struct(F.least(chunk, o).alias("low"), F.greatest(chunk, o).alias("high")))
+    met = common.written(groups.join(chunks, "root").select(F.col("doc_id").alias("_read"), "node", "root", meets.alias("meets")), "meetings")
+    named = met.filter(F.col("_read").isNotNull()).hint("shuffle_hash")
+    gathered = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(named, F.col("_id") == F.col("_read")).select("_text", "node", "root", "meets").mapInArrow(read, f"{more}, shingles binary")
+    nameless = met.filter(F.col("_read").isNull()).drop("_read")
+    if not nameless.isEmpty():
+        rows = docs.filter(F.col(id_col).isNull()).select(text_col).mapInArrow(read_nameless, "node long, shingles binary")
+        gathered = gathered.unionByName(rows.join(nameless, "node"))
+    gathered = gathered.select("node", "root", "shingles", F.explode("meets").alias("at"))
+    gathered = gathered.groupBy("root", "at").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     return gathered.select("members").mapInArrow(run, "a long, b long")
 
 
+def with_set(rows: DataFrame, width: int, text_col: str) -> DataFrame:
+    """The rows with the name of their set of shingles as ``_node``."""
+    common.bound_batches(rows.sparkSession)
+    at, schema = rows.columns.index(text_col), T.StructType([*rows.schema.fields, T.StructField("_node", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            names = pa.array([set_name(distinct_shingles(t, width)) for t in b.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, names], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
     """The documents, all columns unchanged, but for those with a near-duplicate of a smaller id.
 
     Near-duplicates are connected by pairs of ``similarity`` or more: the Jaccard
-    similarity of their distinct shingles of ``width`` words.
-    Only the ids to drop are joined to the texts. Of rows that repeat an id one stays;
-    rows without an id are compared with each other for equal texts.
+    similarity of their distinct shingles of ``width`` words. Only ids to drop are joined
+    to the texts. Rows that repeat an id, and rows without one, are told apart by their
+    sets of shingles: of rows alike in both one stays; rows without an id come last in
+    their group. An empty table gives an empty result.
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    prints = common.written(shingle_sets(named, width, id_col, text_col), "prints")
+    prints = common.written(shingle_sets(docs, width, id_col, text_col), "prints")
     distinct = common.written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "sets")
-    roots = graph.components(alike_links(named, distinct, width, similarity, text_col, set_limit)).withColumnRenamed("node", "a")
+    roots = graph.components(alike_links(docs, distinct, width, similarity, id_col, text_col, set_limit)).withColumnRenamed("node", "a")
     rooted = common.written(distinct.join(roots, F.col("node") == F.col("a"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = prints.select("doc_id", "node").join(rooted.select("node", "root").join(names, "root"), "node")
-    drop = common.written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "dropped-ids")
-    again = common.written(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
-    kept = docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"))
+    stays = common.written(first.select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_stays")), "first-of-groups")
+    found = prints.select("doc_id", "node").join(stays, (F.col("node") == F.col("_stays")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    each = common.written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_stays").isNotNull()).alias("stay")), "decisions")
+    again = common.written(each.filter("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    go = common.written(each.filter("n > 1 OR NOT stay").select(F.col("doc_id").alias("_go")), "dropped-ids")
+    kept = docs.join(go, F.col(id_col) == F.col("_go"), "left_anti")
+    special = []
     if not again.isEmpty():
-        repeated = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
-        kept = kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(repeated)
-    nameless = docs.filter(F.col(id_col).isNull())
-    return kept if nameless.isEmpty() else kept.filter(F.col(id_col).isNotNull()).unionByName(nameless.dropDuplicates([text_col]))
+        special.append(docs.join(again, F.col(id_col) == F.col("_again"), "left_semi"))
+    if not (nameless := docs.filter(F.col(id_col).isNull())).isEmpty():
+        kept = kept.filter(F.col(id_col).isNotNull())
+        special.append(nameless)
+    for rows in special:
+        rows = with_set(rows, width, text_col)
+        rows = rows.join(stays, (F.col("_node") == F.col("_stays")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+        kept = kept.unionByName(rows.dropDuplicates([id_col, "_node"]).drop("_node"))
+    return kept

@@ -88,44 +88,6 @@ def test_fingerprints_of_random_bits_by_brute_force(spark):
     assert [names[simhash.signed(x)] for x in fps] == slow_components(range(len(fps)), fps, 4)
 
 
-@pytest.mark.parametrize("limit", [1024, 4])
-def test_families_by_brute_force(spark, limit):
-    """A link needs few differing bits in one family, and few enough in all of them."""
-    rng = np.random.default_rng(3)
-    near = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
-    sketches = []
-    for _ in range(25):
-        base = [int(rng.integers(0, 1 << 63)) for _ in range(3)]
-        sketches += [[near(x, int(rng.integers(0, 14))) for x in base] for _ in range(8)]
-    sketches += [[1, 2, 3], [1, 2, 3]]
-    root = list(range(len(sketches)))
-
-    def find(k):
-        return k if root[k] == k else find(root[k])
-
-    nodes = {k: min(y for y in sketches if y[0] == x[0]) for k, x in enumerate(sketches)}
-    for a in range(len(sketches)):
-        for b in range(a):
-            bits = [(x ^ y).bit_count() for x, y in zip(nodes[a], nodes[b])]
-            if min(bits) <= 4 and sum(bits) <= 20:
-                hi, lo = max(find(a), find(b)), min(find(a), find(b))
-                root[hi] = lo
-    rows = [(k, simhash.signed(x[0]), [simhash.signed(y) for y in x]) for k, x in enumerate(sketches)]
-    df = spark.createDataFrame(rows, "doc_id long, fp long, sketch array<long>")
-    names = {r.fp: r.component_id for r in simhash.classes(df, 4, group_limit=limit, total_bits=20).collect()}
-    assert [names[r[1]] for r in rows] == [find(k) for k in range(len(sketches))]
-    assert len(set(names.values())) < len(sketches)
-
-
-def test_families_differ_and_the_first_is_the_fingerprint(spark):
-    df, texts = near_docs(spark)
-    got = {r.doc_id: r for r in simhash.fingerprints(df, families=3).collect()}
-    for i, t in enumerate(texts):
-        assert got[i].fp == got[i].sketch[0] == simhash.signed(slow_fingerprint(t)) and len(got[i].sketch) == 3
-        assert len(set(got[i].sketch)) == (3 if t and t.strip() else 1)
-    assert simhash.expected_bits(0.8) == 10 and simhash.expected_bits(1.0) == 0
-
-
 def test_keep_first_keeps_one_of_a_group_and_all_columns(spark):
     text = " ".join(f"t{k}" for k in range(200))
     rows = [(5, text, 1), (3, text + " more", 2), (9, text, 3), (7, "another text that is unlike the others", 4), (7, "another text that is unlike the others", 5), (None, "x", 6), (None, "x", 7), (11, None, 8), (12, "", 9)]
@@ -136,6 +98,13 @@ def test_keep_first_keeps_one_of_a_group_and_all_columns(spark):
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_keep_first_tells_rows_of_one_id_and_of_none_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcd")
+    rows = [(7, a), (7, b), (7, b), (3, a + " more"), (None, b + " more"), (None, c), (None, c + " more"), (None, d), (9, "long " * 300000 + d), (10, "long " * 200000 + d)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or -1, r.text[:1]) for r in got) == [(-1, "c"), (3, "a"), (7, "b"), (9, "l")]
+
+
 def slow_kept(texts, width=5, least=0.8):
     """The smallest id of each group that pairs of ``least`` or more connect, ids being positions."""
     def shingles(t):
