@@ -9,7 +9,10 @@ join them) only the letters count, so that joined words and dates are none; numb
 fewer letters than digits are set aside.
 
 Defined cases: a null text is empty; a text without findings has empty spans; positions
-are code points with an exclusive end; repeated rows are scanned each for itself.
+are code points with an exclusive end; spans of equal start are ordered by kind as listed,
+then by end; very long texts take time in proportion, very long runs one test; repeated
+rows are scanned each for itself; extra columns are left out by ``scan`` and kept by
+``redact``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,25 +73,28 @@ def inefficient(run: str, enc, chars_per_token: float) -> bool:
     return sum(map(len, pieces)) < chars_per_token * sum(len(enc.encode_ordinary(x)) for x in pieces)
 
 
-def uncovered(s: int, e: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The parts of [s, e) outside the ``taken`` spans, which are in order."""
-    out = []
-    for a, b, _ in taken:
-        if a < e and s < b:
-            out.append((s, a))
-            s = b
-    return [(x, y) for x, y in [*out, (s, e)] if x < y]
-
-
 def random_spans(text: str, taken: list[tuple[int, int, str]], enc, chars_per_token: float) -> list[tuple[int, int, str]]:
-    out, taken = [], sorted(taken)
+    """Inefficient runs, but for what ``taken`` covers of them: one pass over both, as both are in order."""
+    covers: list[list[int]] = []
+    for s, e, _ in sorted(taken):
+        if covers and s <= covers[-1][1]:
+            covers[-1][1] = max(covers[-1][1], e)
+        else:
+            covers.append([s, e])
+    out, k = [], 0
     for m in KEYLIKE.finditer(text):
         if DIGEST.match(m.group()):
             continue
-        for s, e in uncovered(*m.span(), taken):
-            run = text[s:e]
-            if KEYLIKE.match(run) and not DIGEST.match(run) and inefficient(run, enc, chars_per_token):
-                out.append((s, e, "random"))
+        s, stop = m.span()
+        while s < stop:
+            while k < len(covers) and covers[k][1] <= s:
+                k += 1
+            e, after = (min(stop, covers[k][0]), covers[k][1]) if k < len(covers) else (stop, stop)
+            if s < e:
+                run = text[s:e]
+                if KEYLIKE.match(run) and not DIGEST.match(run) and inefficient(run, enc, chars_per_token):
+                    out.append((s, e, "random"))
+            s = max(e, after) if e < stop else stop
     return out
 
 
