@@ -7,23 +7,32 @@ left is filled by Efraimidis-Spirakis sampling: a document's key is u ** (1 / w)
 uniform u drawn from its id and its quality weight w, documents follow each other by
 descending key, and a prefix sum of their sizes stops at the budget.
 
-Sorting and summing within a source are cut into key ranges of about
-``rows_per_range`` documents, whose sums precede them, so that a source that holds most
-rows is still dealt over many tasks.
+Sorting and summing within a source are cut into key ranges, whose sums precede them, so
+that a source that holds most rows is still dealt over many tasks. The ranges are of equal
+width in ln(-ln key) = ln(-ln u) - ln w: whatever the weights are, this mixture of Gumbel
+densities is nowhere above 1/e, so a range of width ``rows_per_range`` * e / n holds at most
+``rows_per_range`` of a source's n documents on average. Ranges are summed up in two levels,
+and the sources' own table has one row a source.
 
 Defined cases: a null text has no words; the null source is a source of its own, after
 all others; sources without words have target 0; repeated rows are documents of their
-own (equal keys: by id, then size); an empty table gives an empty result.
+own (equal keys: by id, then size); rows that share an id share a range; very long texts
+are sizes like others; extra columns are left out by ``mix`` and kept by ``repeat``,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandpack.llm import common
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: No key has ln(-ln key) below the negative of this: keys are at most 1 - 2 ** -53.
+LOWEST = 40.0
 #: Signs that are rare in prose; their share lowers a document's quality weight.
 JUNK = r"[#$%&*!|~^<>{}=@]"
 
@@ -70,11 +79,8 @@ def sampled(docs: DataFrame, weights, share: float, cap: float, seed: str, rows_
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     # a row a source: below the broadcast threshold the joins on it need no shuffle
     sources = common.written(targets(sources, weights, share, cap), "mix-targets").withColumnRenamed("source", "named")
-    ranges = F.ceil(F.col("n") / float(rows_per_range))
-    dealt = slim.join(sources, F.col("source").eqNullSafe(F.col("named"))).withColumn("part", F.least(F.floor((F.lit(1.0) - F.col("key")) * ranges), ranges - 1).cast("long"))
-    in_source = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("source_no", "part").agg(F.sum("size").alias("part_size")).withColumn("ahead", F.coalesce(F.sum("part_size").over(in_source), F.lit(0))).select("source_no", "part", "ahead")
-    parts = common.written(parts, "mix-ranges")
+    dealt = slim.join(sources, F.col("source").eqNullSafe(F.col("named"))).withColumn("part", range_of(F.col("key"), F.col("n"), rows_per_range))
+    parts = common.written(sums_ahead(common.written(dealt.groupBy("source_no", "part").agg(F.sum("size").alias("part_size")), "mix-range-sums")), "mix-ranges")
     in_part = Window.partitionBy("source_no", "part").orderBy(F.col("key").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("ahead") + F.sum("size").over(in_part)
     out = dealt.join(parts, ["source_no", "part"]).withColumn("end", end)
@@ -84,6 +90,21 @@ def sampled(docs: DataFrame, weights, share: float, cap: float, seed: str, rows_
     return out.withColumn("once_more", once_more), sources
 
 
+def range_of(key: Column, n: Column, rows_per_range: int) -> Column:
+    """The number of the key's range, ascending by descending key."""
+    return F.floor((F.ln(-F.ln(key)) + F.lit(LOWEST)) * n / F.lit(rows_per_range * math.e)).cast("long")
+
+
+def sums_ahead(parts: DataFrame, wide: int = 1024) -> DataFrame:
+    """(source_no, part, ahead): the sizes of all ranges before each one of its source; first by groups of ``wide`` ranges."""
+    parts = parts.withColumn("group", F.floor(F.col("part") / F.lit(wide)))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    groups = parts.groupBy("source_no", "group").agg(F.sum("part_size").alias("group_size"))
+    groups = groups.withColumn("group_ahead", F.coalesce(F.sum("group_size").over(before("source_no").orderBy("group")), F.lit(0))).drop("group_size")
+    within = F.coalesce(F.sum("part_size").over(before("source_no", "group").orderBy("part")), F.lit(0))
+    return parts.withColumn("within", within).join(groups, ["source_no", "group"]).select("source_no", "part", (F.col("group_ahead") + F.col("within")).alias("ahead"))
+
+
 def key_of(id_col: Column, text: Column, seed: str) -> Column:
     return F.pow(uniform(id_col, seed), F.lit(1.0) / quality_weight(text))
 

@@ -79,3 +79,22 @@ def test_repeat_gives_the_copies_that_mix_counts(spark):
 def test_empty_table(spark):
     empty = docs(spark).limit(0)
     assert mixing.mix(empty).count() == 0 and mixing.repeat(empty).count() == 0
+
+
+def test_ranges_are_even_whatever_the_weights(spark):
+    from pyspark.sql import functions as F
+
+    rows = 60000
+    for weight in (0.1, 1.0, None):
+        w = F.lit(weight) if weight else F.when(F.col("id") % 3 == 0, 0.1).otherwise(1.0)
+        keys = spark.range(rows).select(F.pow(mixing.uniform(F.col("id"), "mix"), 1 / w).alias("key"))
+        parts = keys.select("key", mixing.range_of(F.col("key"), F.lit(rows), 512).alias("part"))
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("part").collect()
+        assert max(r.n for r in sizes) < 2 * 512 and sizes[0].part >= 0
+        assert all(a.low > b.high for a, b in zip(sizes, sizes[1:]))
+
+
+def test_sums_ahead_in_two_levels(spark):
+    parts = [(s, p, (p * 7 + s) % 11) for s in (1, 2) for p in range(0, 300, 1 + s)]
+    got = {(r.source_no, r.part): r.ahead for r in mixing.sums_ahead(spark.createDataFrame(parts, "source_no int, part long, part_size long"), 16).collect()}
+    assert got == {(s, p): sum(n for t, q, n in parts if t == s and q < p) for s, p, _ in parts}
