@@ -12,7 +12,9 @@ rise quickly. The best k of each shard are merged for each query.
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 shorter vectors are padded with zeros; ties go to the smaller id; rows with the query's
 own id are not among its candidates; of repeated query ids the least vector counts, and
-repeated rows are candidates each; scores beyond a long are cut at its limits.
+repeated rows are candidates each; scores beyond a long are cut at its limits; points that
+lie equally far from each other stay together in one leaf; extra columns are left out,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from strandpack.llm import common
 
 LEAF, FANOUT = 96, 8
-#: Beyond this, sums of products may not be exact in doubles, and Python's integers take over.
+#: Beyond this, sums of products may not be exact in doubles; what these cannot tell apart is then compared as integers.
 EXACT = 1 << 20
 
 
@@ -62,7 +64,7 @@ def build(points: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray |
         closer = gap < best
         nearest[closer], best[closer] = len(seeds), gap[closer]
         seeds.append(far)
-    if len(seeds) == 1:
+    if len(seeds) == 1 or not parts_well(node.radius, own, nearest, best):
         return node
     node.children = [build(points, rows[nearest == s], leaf, own[seed], loose) for s, seed in enumerate(seeds) if (nearest == s).any()]
     if len(rows) <= loose and not any(len(c.rows) > 1 and c.radius <= 0.7 * node.radius for c in node.children):
@@ -70,6 +72,13 @@ def build(points: np.ndarray, rows: np.ndarray, leaf: int, centre: np.ndarray |
     return node
 
 
+def parts_well(radius: float, own: np.ndarray, nearest: np.ndarray, best: np.ndarray) -> bool:
+    """Whether no seed keeps nearly all points at nearly the whole radius, so that trees stay shallow."""
+    most = np.bincount(nearest).argmax()
+    kept = nearest == most
+    return kept.sum() <= 0.75 * len(own) or float(np.sqrt(best[kept].max())) <= 0.8 * radius
+
+
 def bound(q: Node, centres: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
     top = centres @ q.centre + q.radius * norms + radii * q.norm + q.radius * radii
     return top + 1e-9 * np.abs(top) + 1e-3
@@ -128,12 +137,28 @@ class Search:
         self.scores[q], self.best[q] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def by_integers(queries, query_ids, data, ids, k: int):
-    """The same result for components so large that doubles are not exact."""
+def by_bounds(queries, query_ids, data, ids, k: int, block: int = 64):
+    """The same result for components so large that doubles are not exact.
+
+    Products of doubles, scaled by powers of two, are right but for a known error; what
+    may be among the best k within that error is compared as integers.
+    """
     limit = (1 << 63) - 1
-    for q, qid in zip(queries.tolist(), query_ids.tolist()):
-        scored = sorted((-sum(int(a) * int(b) for a, b in zip(q, x)), i) for x, i in zip(data.tolist(), ids.tolist()) if i != qid)
-        yield from ((qid, i, max(-limit - 1, min(limit, -s))) for s, i in scored[:k])
+    down = lambda m: np.ldexp(m, -np.frexp(np.abs(m).max(1, initial=1.0))[1][:, None])
+    scale = int(np.frexp(np.abs(data).max(initial=1.0))[1])
+    x = np.ldexp(data, -scale)
+    norms = np.sqrt((x * x).sum(1))
+    for s in range(0, len(queries), block):
+        q = down(queries[s : s + block])
+        near, slack = q @ x.T, (np.sqrt((q * q).sum(1))[:, None] * norms) * (data.shape[1] + 4) * 2.0**-52 + 2.0**-1000
+        for row, (got, err, qid) in enumerate(zip(near, slack, query_ids[s : s + block].tolist())):
+            other = ids != qid
+            low = np.where(other, got - err, -np.inf)
+            least = np.partition(low, -k)[-k] if len(low) >= k else -np.inf
+            some = np.flatnonzero(other & (got + err >= least))
+            mine = [int(v) for v in queries[s + row].tolist()]
+            scored = sorted((-sum(a * int(b) for a, b in zip(mine, data[i].tolist())), int(ids[i])) for i in some.tolist())
+            yield from ((qid, i, max(-limit - 1, min(limit, -v))) for v, i in scored[:k])
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -148,7 +173,7 @@ def scaled(vectors: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(vectors * scale)
 
 
-def search(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 32768, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row where ``is_query`` holds."""
     spark = rows.sparkSession
     sound = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -167,7 +192,7 @@ def search(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, shard_ro
         found: list[tuple[int, int, int]] = []
         if len(qm) and len(xm):
             if max(np.abs(qm).max(), np.abs(xm).max()) > EXACT or width > 4096:
-                found = list(by_integers(qm, q_ids, xm, ids, k))
+                found = list(by_bounds(qm, q_ids, xm, ids, k))
             else:
                 s = Search(qm, q_ids, xm, ids, k)
                 s.run()
