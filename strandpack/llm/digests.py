@@ -2,16 +2,20 @@
 
 A text's canonical form is its NFKC form, folded in case (upper, then lower case) and in
 white space. Its fingerprint is a wide digest of that form, two XXH64 hashes of it with
-unlike prefixes. Texts in a bucket of equal digests are compared byte by byte; should
-two differ, the digest gets the rank of its text in the bucket as a suffix, so that
-equal fingerprints mean equal canonical texts.
-
-The edited text of a document needs the next document, by descending id. Ids are dealt
-to ranges of about equal width in one shuffle of the texts; the first text of each range
-is sent to the range before it as well, and a window within the range does the rest.
-
-Defined cases: a null text is empty; repeated ids follow each other by text; the next
-document of the last is the first (its own, if it is the only one); null ids come last.
+unlike prefixes. Documents in a bucket of equal digests are compared byte by byte, and
+edited texts in it by a third hash; should two differ, the digest gets the rank of its text
+in the bucket as a suffix, so that equal fingerprints mean equal canonical texts.
+
+The edited text of a document needs the next document, by descending id. Rows are dealt to
+ranges between quantiles of a random sample of (id, first characters), in one shuffle of
+the texts, which carries their digests along; the first rows of each range go to the range
+before it as well, and a window within the range does the rest.
+
+Defined cases: a null text is empty; ids are integers anywhere in the range of a long, null
+ids come last; repeated ids follow each other by text, exact repeats in any order; the next
+document of the last is the first (its own, if it is the only one); rows that share an id
+and the first ``PREFIX`` characters share a range; very long texts are read whole; extra
+columns are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +25,11 @@ from pyspark.sql import functions as F
 
 from strandpack.llm import common
 
-SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+ODD = r"\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Runs of white space other than one plain space.
+SPACE = rf"[{ODD}][ {ODD}]*| [ {ODD}]+"
+#: Characters that tell rows of one id apart when ranges are cut; bounds that one step of the search looks at.
+PREFIX, STEP = 32, 32
 
 
 def canonical(text: Column) -> Column:
@@ -35,73 +43,121 @@ def wide(canon: Column) -> Column:
     return F.struct(F.xxhash64(canon).alias("h"), F.xxhash64(F.lit("wide"), canon).alias("g"))
 
 
+def with_third(digest):
+    return lambda canon: digest(canon).withField("k", F.xxhash64(F.lit("third"), canon))
+
+
 def shown(digest: str, rank: Column) -> Column:
     out = F.concat(F.lower(F.lpad(F.hex(f"{digest}.h"), 16, "0")), F.lower(F.lpad(F.hex(f"{digest}.g"), 16, "0")))
     return F.when(F.coalesce(rank, F.lit(0)) > 0, F.concat(out, F.lit("-"), rank.cast("string"))).otherwise(out)
 
 
-def ranks(docs: DataFrame, digests: DataFrame, text_col: str = "text", digest=wide) -> DataFrame:
-    """(h, g, unlike, rank) of the texts in buckets of equal digests whose bytes differ.
+# -- neighbours ---------------------------------------------------------------------
 
-    Only buckets of several rows are compared. Their least and greatest text tell
-    whether all are equal, and these are found in parts however large a bucket is.
-    """
-    several = common.written(digests.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g"), "equal-digests")
-    canon = docs.select(canonical(F.coalesce(F.col(text_col), F.lit(""))).alias("canon")).withColumn("d", digest(F.col("canon"))).select("d.h", "d.g", "canon")
-    canon = canon.join(several, ["h", "g"], "left_semi")
-    apart = common.written(canon.groupBy("h", "g").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).filter("low <> high").select("h", "g"), "unlike-digests")
-    unlike = canon.join(apart, ["h", "g"], "left_semi").distinct()
-    return unlike.withColumn("rank", F.dense_rank().over(Window.partitionBy("h", "g").orderBy("canon")) - 1).withColumnRenamed("canon", "unlike")
+
+def place(id_col: Column, text: Column) -> Column:
+    """A key in the order of the documents: descending ids, null last, then by text."""
+    return F.struct(id_col.isNull().alias("nameless"), F.coalesce(F.bitwise_not(id_col), F.lit(0)).cast("long").alias("id"), F.substring(text, 1, PREFIX).alias("prefix"))
+
+
+def bounds(base: DataFrame, n: int, rows_per_range: int, per_range: int = 16) -> list:
+    """Keys that cut the rows in ranges of about ``rows_per_range``, or as many ranges as
+    the cluster's shuffle partitions warrant: quantiles of a sample of ``per_range`` a range."""
+    count = max(1, min(-(-n // rows_per_range), max(1024, 8 * common.shuffle_partitions(base.sparkSession))))
+    sample = base.filter(F.rand(7) < min(1.0, count * per_range / n)).select(place(F.col("doc_id"), F.col("text")).alias("at"))
+    keys = sorted((r["at"]["nameless"], r["at"]["id"], r["at"]["prefix"]) for r in sample.collect())
+    return sorted({keys[len(keys) * k // count] for k in range(1, count)} if keys else [])
+
+
+def range_of(key: Column, cuts: list) -> Column:
+    """How many of the ``cuts`` are at or before the key: first by every ``STEP``-th, then among those between."""
+    if not cuts:
+        return F.lit(0)
+    keys = lambda some: F.array(*(F.struct(F.lit(a).alias("nameless"), F.lit(b).cast("long").alias("id"), F.lit(c).alias("prefix")) for a, b, c in some))
+    reached = lambda some: F.size(F.filter(some, lambda c: c <= key))
+    coarse = F.greatest(reached(keys(cuts[::STEP])) - 1, F.lit(0)) * STEP
+    return (coarse + reached(F.slice(keys(cuts), coarse + 1, STEP))).cast("int")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 512) -> DataFrame:
-    """(doc_id, text, next_text): by descending id, the first follows the last."""
-    spark = docs.sparkSession
+def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 512, digest=wide) -> DataFrame:
+    """(doc_id, text, d, next_text, next_d): by descending id, the first follows the last; d is the digest of the canonical text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if not n:
-        return base.withColumn("next_text", F.col("text"))
+    n = base.count()
+    key = place(F.col("doc_id"), F.col("text"))
+    cuts = bounds(base, n, rows_per_range) if n else []
+    base = base.withColumn("part", range_of(key, cuts))
     # the ranges' number is bounded by the cluster's shuffle partitions, so their heads are a small table
-    count = max(1, min(-(-n // rows_per_range), max(1024, 8 * common.shuffle_partitions(spark))))
-    low, width = (low or 0), (-(-((high or 0) - (low or 0) + 1) // count))
-    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width))).cast("long")
-    heads = base.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("head"))
-    order = Window.orderBy(F.col("part").asc())
-    heads = heads.withColumn("above", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    heads = common.written(heads, "range-heads").select(F.col("head"), F.col("above"))
-    # every row goes to its range, a head also (as a guest, behind all others) to the range above
-    placed = base.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(part.alias("part"), F.lit(0).alias("guest"))
-    visit = F.struct(F.col("above").alias("part"), F.lit(1).alias("guest"))
-    placed = placed.select("doc_id", "text", F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("at")).select("doc_id", "text", "at.part", "at.guest")
-    window = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    return placed.withColumn("next_text", F.lead("text").over(window)).filter("guest = 0").select("doc_id", "text", "next_text")
+    heads = base.groupBy("part").agg(F.min(key).alias("head"))
+    order = Window.orderBy("part")
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("head", F.coalesce(F.lag("part").over(order), F.last("part").over(everything)).alias("before"))
+    heads = common.written(heads, "range-heads")
+    # every row goes to its range, the first ones also (as guests, behind all others) to the range before
+    own = F.struct(F.col("part"), F.lit(0).alias("guest"))
+    visit = F.struct(F.col("before").alias("part"), F.lit(1).alias("guest"))
+    # a column of its own, as an expression with a Java call in it is never shared
+    base = base.withColumn("canon", canonical(F.col("text"))).withColumn("d", with_third(digest)(F.col("canon"))).drop("canon")
+    placed = base.join(F.broadcast(heads), key == F.col("head"), "left")
+    placed = placed.select("doc_id", "text", "d", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("at"))
+    window = Window.partitionBy("at.part").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
+    placed = placed.withColumn("next_text", F.lead("text").over(window)).withColumn("next_d", F.lead("d").over(window))
+    return placed.filter("at.guest = 0").select("doc_id", "text", "d", "next_text", "next_d")
+
+
+def edited_text() -> Column:
+    half = F.floor(F.length("text") / 2).cast("int")
+    return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
+
+
+# -- buckets ------------------------------------------------------------------------
+
+
+def raw(text: Column) -> Column:
+    return F.xxhash64(F.lit("raw"), text)
+
+
+def unlike_buckets(docs: DataFrame, rows: DataFrame, text_col: str, digest) -> DataFrame:
+    """(h, g) of the digests that texts of unlike bytes share.
+
+    Only the documents in buckets of several are folded again; they are found by the hashes
+    of their texts, which copies share. The least and greatest text of a bucket tell
+    whether all are equal, and are found in parts however large it is.
+    """
+    of = lambda name: rows.select("raw", F.col(f"{name}.h").alias("h"), F.col(f"{name}.g").alias("g"), F.col(f"{name}.k").alias("k"))
+    third = of("d").unionByName(of("e")).groupBy("h", "g").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low <> high").select("h", "g")
+    several = of("d").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g")
+    members = common.written(of("d").select("raw", "h", "g").distinct().join(several, ["h", "g"], "left_semi").select("raw").distinct(), "equal-digests")
+    canon = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("raw", raw(F.col("text"))).join(members, "raw", "left_semi")
+    canon = canon.select(canonical(F.col("text")).alias("canon")).select("canon", digest(F.col("canon")).alias("d"))
+    bytes_ = canon.groupBy("d.h", "d.g").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).filter("low <> high").select("h", "g")
+    return common.written(bytes_.unionByName(third).distinct(), "unlike-digests")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=wide) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
-    An exact digest knows two likenesses only: 1 for equal canonical texts (their bytes
-    are compared, not just their digests), 0 for all others.
+    An exact digest knows two likenesses only: 1 for equal fingerprints, 0 for all others.
     """
-    text = with_next(docs, id_col, text_col)
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    text = text.select("doc_id", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon"), edited.alias("edited"), canonical(F.col("next_text")).alias("next_canon"))
-    text = text.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "canon", "next_canon", canonical(F.col("edited")).alias("edited_canon"))
-    same = lambda x: F.when(F.col("canon") == F.col(x), F.lit(1.0)).otherwise(F.lit(0.0))
-    text = text.select("doc_id", "n_chars", "edited_sha256", digest(F.col("canon")).alias("d"), digest(F.col("edited_canon")).alias("e"), same("edited_canon").alias("near_edited"), same("next_canon").alias("near_next"), "canon", "edited_canon")
-    rows = common.written(text.drop("canon", "edited_canon"), "digests")
-    unlike = common.written(ranks(docs, rows.select("d.h", "d.g"), text_col, digest), "unlike-texts")
-    first, second = F.lit(0), F.lit(0)
-    if not unlike.isEmpty():
-        of = lambda name, bucket, canon: text_with(unlike, name, bucket, canon)
-        rows = of("second", "e", "edited_canon")(of("first", "d", "canon")(text)).drop("canon", "edited_canon")
-        first, second = F.col("first"), F.col("second")
-    return rows.select("doc_id", "n_chars", "edited_sha256", shown("d", first).alias("fingerprint"), shown("e", second).alias("edited_fingerprint"), "near_edited", "near_next")
-
-
-def text_with(unlike: DataFrame, name: str, bucket: str, canon: str):
-    """A join that adds the rank of ``canon`` in its bucket as ``name`` (null: the bucket has one text)."""
-    side = unlike.select(F.col("h").alias("h_"), F.col("g").alias("g_"), F.col("unlike").alias("text_"), F.col("rank").alias(name))
-    return lambda rows: rows.join(side, (F.col(f"{bucket}.h") == F.col("h_")) & (F.col(f"{bucket}.g") == F.col("g_")) & (F.col(canon) == F.col("text_")), "left").drop("h_", "g_", "text_")
+    text = with_next(docs, id_col, text_col, digest=digest).withColumn("edited", edited_text())
+    text = text.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "d", canonical(F.col("edited")).alias("canon"), "next_d", raw(F.col("text")).alias("raw"), "text", "edited", "next_text")
+    text = text.withColumn("e", with_third(digest)(F.col("canon"))).drop("canon")
+    rows = common.written(text.drop("text", "edited", "next_text"), "digests")
+    unlike = unlike_buckets(docs, rows, text_col, digest)
+    names = {"d": "text", "e": "edited", "next_d": "next_text"}
+    if unlike.isEmpty():
+        rows = rows.withColumns({f"{d}_rank": F.lit(0) for d in names}).drop("raw")
+    else:  # ranks of the texts in these buckets
+        canon = common.written(text.select("doc_id", "n_chars", "edited_sha256", *names, *(canonical(F.col(t)).alias(t) for t in names.values())), "canonical-texts")
+        some = None
+        for d, t in names.items():
+            one = canon.select(F.col(f"{d}.h").alias("h"), F.col(f"{d}.g").alias("g"), F.col(t).alias("canon")).join(unlike, ["h", "g"], "left_semi")
+            some = one if some is None else some.unionByName(one)
+        ranks = some.distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy("h", "g").orderBy("canon")) - 1)
+        ranks = common.written(ranks, "ranks")
+        rows = canon
+        for d, t in names.items():
+            side = ranks.select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("canon").alias("_canon"), F.col("rank").alias(f"{d}_rank"))
+            rows = rows.join(side, (F.col(f"{d}.h") == F.col("_h")) & (F.col(f"{d}.g") == F.col("_g")) & (F.col(t) == F.col("_canon")), "left").drop("_h", "_g", "_canon")
+    name = lambda d: shown(d, F.col(f"{d}_rank"))
+    near = lambda d: F.when(name("d") == name(d), F.lit(1.0)).otherwise(F.lit(0.0))
+    return rows.select("doc_id", "n_chars", "edited_sha256", name("d").alias("fingerprint"), name("e").alias("edited_fingerprint"), near("e").alias("near_edited"), near("next_d").alias("near_next"))

@@ -217,6 +217,22 @@ def test_many_ranges_and_sparse_ids(spark):
     assert {r.doc_id: r.next_text for r in got} == {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
 
 
+def test_ids_anywhere_in_the_range_of_a_long(spark):
+    """Far ids, one far from all others, many null ids and many rows of one id."""
+    rng = np.random.default_rng(4)
+    ids = [-(2**63), 2**63 - 1, -1, 0, 5, *map(int, rng.integers(-(2**62), 2**62, 60)), *range(100, 160), 2**60]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)] + [(None, f"{k:03d} nameless") for k in range(150)] + [(7, f"{k:03d} again") for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    for n in (4, 512):
+        got = digests.with_next(df, "doc_id", "text", rows_per_range=n)
+        assert {(r.doc_id, r.text): r.next_text for r in got.collect()} == want
+    cuts = digests.bounds(df, len(rows), 16)
+    sizes = df.groupBy(digests.range_of(digests.place(F.col("doc_id"), F.col("text")), cuts).alias("part")).count().collect()
+    assert len(cuts) > 20 and max(r["count"] for r in sizes) < 16 * 6 and {r.part for r in sizes} <= set(range(len(cuts) + 1))
+
+
 def test_colliding_digests_are_told_apart_by_bytes(spark):
     """With a digest of the length alone, the ranks keep unlike texts apart."""
     weak = lambda c: F.struct(F.length(c).cast("long").alias("h"), F.lit(0).cast("long").alias("g"))
@@ -274,6 +290,33 @@ def test_topk_with_few_or_huge_vectors(spark):
     assert topk.search(alone, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_large_components_by_brute_force():
+    rng = np.random.default_rng(2)
+    for width, high in ((3, 2.0**30), (8, 1e30), (5, 1e300)):
+        x = np.floor(rng.normal(0, 1, (300, width)) * high)
+        x[100:140] = x[:40]
+        x[200:220] = 0
+        ids, q = np.arange(300), np.arange(0, 300, 7)
+        limit = 2**63 - 1
+        want = set()
+        for i in q.tolist():
+            scored = sorted((-sum(int(a) * int(b) for a, b in zip(x[i].tolist(), x[j].tolist())), j) for j in range(300) if j != i)
+            want |= {(i, j, max(-limit - 1, min(limit, -v))) for v, j in scored[:5]}
+        assert set(topk.by_bounds(x[q], q, x, ids, 5)) == want
+
+
+def test_trees_of_ill_placed_points_stay_shallow():
+    depth = lambda n: 1 + max(map(depth, n.children), default=0)
+    for x in (np.eye(1600) * 256, np.zeros((2000, 4)), np.arange(3000.0)[:, None], np.repeat(np.eye(8) * 99, 300, axis=0)):
+        tree = topk.build(x, np.arange(len(x)), topk.LEAF)
+        assert depth(tree) < 20
+        s = topk.Search(x[::100], np.arange(0, len(x), 100), x, np.arange(len(x)), 5)
+        s.run()
+        want = x[::100] @ x.T
+        want[np.arange(len(want)), np.arange(0, len(x), 100)] = -np.inf
+        assert (s.scores == -np.sort(-want, axis=1)[:, :5]).all()
+
+
 def test_the_trees_prune(spark):
     """Clustered data: most leaves are never scored, and nothing is lost."""
     rng = np.random.default_rng(8)

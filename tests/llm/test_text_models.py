@@ -84,6 +84,35 @@ def test_language_on_held_out_rows(spark, small):
     assert np.mean([r.lang_pred == r.lang for r in sure]) >= np.mean([r.lang_pred == r.lang for r in held])
 
 
+def test_languages_by_brute_force(spark, small):
+    """The smallest total size of the folded text's pieces decides; combining marks belong to words."""
+    import zstandard as zstd
+
+    docs = common.table(spark, small, "documents")
+    model = langid.train(docs, rows_per_lang=60)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    for r in docs.limit(80).collect():
+        folded = re.sub("[^a-z\u00df-\u024f]+", " ", (r.text or "").lower().replace("×", " ").replace("÷", " ")).strip(" ").encode()
+        total = {}
+        for lang, dictionary in model.dictionaries.items():
+            d = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            total[lang] = sum(len(zstd.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(folded[k : k + 64])) for k in range(0, len(folded), 64))
+        if folded:
+            assert total[got[r.doc_id]] <= min(total.values()) * 1.02 + 2
+    assert langid.fold("हिन्दी में लिखा हुआ, 12 Ab-c!").decode() == "हिन्दी में लिखा हुआ ab c"
+
+
+def test_a_long_text_is_decided_by_all_of_it(spark, small):
+    docs = common.table(spark, small, "documents")
+    model = langid.train(docs)
+    by = {r.lang: r.text for r in docs.filter("length(text) between 1500 and 4000").collect()}
+    some, other = sorted(by)[:2]
+    rows = [(1, (by[some] + " ") * 60 + by[other]), (2, by[other] + (" " + by[some]) * 60)]
+    assert {r.lang_pred for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()} == {some}
+    few = langid.train(docs, most_langs=2)
+    assert len(few.dictionaries) == 2
+
+
 def test_language_defined_cases(spark, small):
     model = langid.train(common.table(spark, small, "documents"))
     got = {(r.doc_id, r.lang_pred) for r in langid.predict(odd_docs(spark), model).collect()}

@@ -148,7 +148,7 @@ def test_quotes_are_linked_and_leave_the_text(spark):
     assert (by[1, 5].reply_to, by[1, 5].n_quotes, by[1, 5].content) == (None, 1, "Hm")
     assert by[2, 0].reply_to is None and by[2, 1].content == ""
     assert by[1, 0].formatted == "<|im_start|>user\nHow does it work?\nTell me  please.<|im_end|>\n"
-    assert len(rows) == len(TALK) - 1
+    assert len(rows) == len(TALK)
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
@@ -158,6 +158,34 @@ def test_replies_stand_behind_the_thread_that_they_continue(spark):
     assert [r.turn for r in rows] == [0, 2, 3, 1, 4] and [r.thread for r in rows] == [0, 0, 0, 1, 1]
 
 
+def chat_rows(spark, talk):
+    return chat.format_chat(spark.createDataFrame([(1, t, "u", x) for t, x in enumerate(talk)], "conv_id long, turn long, role string, text string")).collect()
+
+
+def test_one_shared_line_links_nothing(spark):
+    by = {r.turn: r.reply_to for r in chat_rows(spark, ["Thanks\nAlpha plan is ready", "Hello", "> Beta plan is somewhat late, not exactly\n> Thanks\nWhat?", "> Thanks\nYes", "Thanks", "> thanks\nAgain"])}
+    assert by == {0: None, 1: None, 2: None, 3: 0, 4: None, 5: 4}
+
+
+def test_a_passage_that_is_wrapped_anew_is_linked(spark):
+    text = "One two three four five\nsix seven eight\nnine ten " + "word " * 30000
+    by = {r.turn: r.reply_to for r in chat_rows(spark, [text, "four five six", "> Four five six\n> seven\n> eight NINE\nYes", "> four five six\nNo", "> four five seven six eight\nNo"])}
+    assert by == {0: None, 1: None, 2: 0, 3: 1, 4: None}
+
+
+def test_replies_to_replies_stand_behind_their_parent(spark):
+    got = chat_rows(spark, ["start of it", "> start of it\nfirst", "> start of it\nsecond", "> first\nto the first", "> second\nto the second", "> to the first\ndeep"])
+    assert [r.turn for r in got] == [0, 1, 3, 5, 2, 4] and {r.thread for r in got} == {0}
+
+
+def test_a_long_chain_and_a_wide_fan_of_replies(spark):
+    chain = ["m0"] + [f"> m{k}\nm{k + 1}" for k in range(40)]
+    assert [r.turn for r in chat_rows(spark, chain)] == list(range(41))
+    rows = [(1, 1000 * t, "u", "start" if not t else "> start\nr" + str(t)) for t in range(30)]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [r.turn for r in got] == [1000 * t for t in range(30)] and all(r.reply_to == 0 for r in got[1:])
+
+
 def slow_parse(text):
     own, passages = [], []
     lines = re.split(r"\r?\n", text or "")
@@ -181,7 +209,7 @@ def test_links_by_brute_force(spark):
     rng = np.random.default_rng(12)
     said, rows = [], []
     for turn in range(80):
-        lines = [f"line {int(rng.integers(60))}" for _ in range(int(rng.integers(1, 4)))]
+        lines = [f"line {int(rng.integers(60))}" + " of many words in a row" * int(rng.integers(2)) for _ in range(int(rng.integers(1, 4)))]
         if said and rng.random() < 0.6:
             q = said[int(rng.integers(len(said)))].split("\n")
             q = q[: int(rng.integers(1, len(q) + 1))]
@@ -190,22 +218,30 @@ def test_links_by_brute_force(spark):
         said.append(slow_parse(text)[0])
         rows.append((1, turn, "u", text))
     got = {r.turn: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    first = {}
-    for _, turn, _, text in rows:
-        content = slow_parse(text)[0]
-        for x in [content, *content.split("\n")]:
-            first.setdefault(fold(x), turn)
     reply = {}
+    own = {turn: slow_parse(text)[0] for _, turn, _, text in rows}
     for _, turn, _, text in rows:
         content, passages = slow_parse(text)
         linked = []
         for lv, p in passages:
-            origins = [first[fold(x)] for x in [p, *p.split("\n")] if fold(x) in first and first[fold(x)] < turn]
+            n, origins = len(fold(p).split(" ")), []
+            for t in range(turn):
+                units = [fold(x) for x in [own[t], *own[t].split("\n")]]
+                if fold(p) in units if n < 5 else f" {fold(p)} " in f" {fold(own[t])} ":
+                    origins.append(t)
             if origins:
                 linked.append((lv, max(origins)))
         want = max((o for lv, o in linked if lv == min(x for x, _ in linked)), default=None)
         reply[turn] = want
         assert (got[turn].content, got[turn].n_quotes, got[turn].n_linked, got[turn].reply_to) == (content, len(passages), len(linked), want), text
+    children = {}
+    for turn, to in reply.items():
+        children.setdefault(to, []).append(turn)
+
+    def walk(turn):
+        return [turn, *(x for c in children.get(turn, []) for x in walk(c))]
+
+    assert list(got) == [x for r in children[None] for x in walk(r)]
     for turn in reply:
         root = turn
         while reply[root] is not None:
@@ -215,4 +251,4 @@ def test_links_by_brute_force(spark):
 
 def test_chat_over_a_table(spark, smallest):
     got = queries.op9_chat(spark, smallest)
-    assert got.count() == common.table(spark, smallest, "conversations").distinct().count()
+    assert got.count() == common.table(spark, smallest, "conversations").count()
