@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -25,6 +26,28 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def runs(texts: list, chars: int = 1 << 21):
+    """The list in runs of about ``chars`` characters (a longer text is a run of its own)."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t or "") > chars:
+            yield texts[start:k]
+            start, size = k, 0
+        size += len(t or "")
+    yield texts[start:]
+
+
+def release() -> None:
+    """Give memory that a batch needed, and that no longer holds anything, back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may be another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -32,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="strandpack-")

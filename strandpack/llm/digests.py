@@ -98,10 +98,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     # a column of its own, as an expression with a Java call in it is never shared
     base = base.withColumn("canon", canonical(F.col("text"))).withColumn("d", with_third(digest)(F.col("canon"))).drop("canon")
     placed = base.join(F.broadcast(heads), key == F.col("head"), "left")
-    placed = placed.select("doc_id", "text", "d", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("at"))
-    window = Window.partitionBy("at.part").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
-    placed = placed.withColumn("next_text", F.lead("text").over(window)).withColumn("next_d", F.lead("d").over(window))
-    return placed.filter("at.guest = 0").select("doc_id", "text", "d", "next_text", "next_d")
+    at = F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("at")
+    # plain columns, as a window over fields of a structure would shuffle again for each of its expressions
+    placed = placed.select("doc_id", "text", "d", at).select("doc_id", "text", "d", "at.part", "at.guest")
+    window = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    placed = placed.withColumns({"next_text": F.lead("text").over(window), "next_d": F.lead("d").over(window)})
+    return placed.filter("guest = 0").select("doc_id", "text", "d", "next_text", "next_d")
 
 
 def edited_text() -> Column:

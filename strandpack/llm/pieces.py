@@ -403,6 +403,9 @@ class PieceModel:
         return [text] if self.whole else re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [ids for run in common.runs(texts) for ids in self.encode_run(run)]
+
+    def encode_run(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
         simple = self.dummy_prefix and not self.whole
         easy = [simple and t != "" and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " for t in texts]
@@ -481,5 +484,7 @@ def round_trip(docs: DataFrame, path: str | None = None, keep_ids: bool = False,
             same = [x == (t or "") for x, t in zip(m.decode_all(ids), texts)]
             columns = [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *([lists(ids)] if keep_ids else [])], schema.names)
+            del texts, ids, columns
+            common.release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

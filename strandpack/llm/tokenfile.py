@@ -238,6 +238,9 @@ class WordEncoder:
         return [flat[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        return [ids for run in common.runs(texts) for ids in self.encode_run(run, end_id)]
+
+    def encode_run(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
         easy = [k for k, t in enumerate(texts) if plain(t)]
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -274,6 +277,7 @@ def blocks(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                 if size >= block_ids:
                     yield full()
                     count, written, held, doc_ids, size = count + 1, written + size, [], [], 0
+            common.release()
         if held:
             yield full()
 
