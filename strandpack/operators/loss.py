@@ -26,10 +26,10 @@ def hashed_recovery(frames: DataFrame, percent: int, rounds: int) -> DataFrame:
     """(round, recovered, n_rec, sent): packets lost by an integer hash, so that any engine agrees.
 
     A frame is recovered if all its packets arrive."""
+    lost = lambda p: F.pmod(F.col("stream") * 7919 + F.col("frame") * 104729 + p * 1299709 + F.col("round") * 15485863, F.lit(9973)) % 100 < percent
+    # a frame's packets are looked at where the frame is: neither they nor the frames are shuffled
     rounds_ = frames.select("stream", "frame", "n_rec", "bytes", "packets", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    each = rounds_.withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("packets") - 1)))
-    lost = F.pmod(F.col("stream") * 7919 + F.col("frame") * 104729 + F.col("p") * 1299709 + F.col("round") * 15485863, F.lit(9973)) % 100 < percent
-    whole = each.groupBy("round", "stream", "frame").agg(F.max("n_rec").alias("n_rec"), F.max("bytes").alias("bytes"), F.bool_and(~lost).alias("arrived"))
+    whole = rounds_.withColumn("arrived", ~F.exists(F.sequence(F.lit(0).cast("bigint"), F.col("packets") - 1), lost))
     return whole.groupBy("round").agg(F.sum(F.when(F.col("arrived"), F.col("n_rec")).otherwise(0)).cast("bigint").alias("recovered"), F.sum("n_rec").cast("bigint").alias("n_rec"), F.sum("bytes").cast("bigint").alias("sent"))
 
 

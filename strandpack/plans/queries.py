@@ -480,6 +480,8 @@ def q_simple8b_size(spark, sf_dir):
 def shared(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="strandpack-")

@@ -1,8 +1,8 @@
 """The two-tier proxy: live messages pass, bulk messages gather by sender and kind.
 
 Each (sysid, msgid) has its own state: the records gathered so far and the next frame
-number. A batch leaves when it reaches its target count, or when its deadline passes by a
-processing-time timer. Frame numbers count per key, as one counter over all keys could
+number. A batch leaves when it reaches its target count, or when its deadline, counted from
+the rows that it began with, passes by a processing-time timer. Frame numbers count per key, as one counter over all keys could
 not be dealt out. ``batch_twin`` gives the same frames from a finished table.
 """
 
@@ -55,12 +55,20 @@ class Accumulator(StatefulProcessor):
         new = pd.concat(list(rows)).sort_values(["ord", "tie"])["v"].tolist()
         was = [r[0] for r in self.held.get()] if self.held.exists() else []
         out = self._frames(key, was + new, False)
-        if self.deadline and self.held.exists():
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.deadline)
+        if self.deadline and (len(out) or not was):
+            # what is held now came with these rows, so earlier deadlines hold no longer
+            self._forget_timers()
+            if self.held.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.deadline)
         yield out
 
+    def _forget_timers(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         values = [r[0] for r in self.held.get()] if self.held.exists() else []
+        self._forget_timers()
         yield self._frames(key, values, True)
 
     def close(self) -> None:
