@@ -116,6 +116,34 @@ def dequantise(i, scale) -> Column:
     return (_c(i).cast("double") / _c(scale).cast("float").cast("double")).cast("float")
 
 
+def channel_status(x, scale) -> Column:
+    """Why ``quantise`` refuses a value: ``scale`` or ``value`` not sound, out of ``range``; else ``ok``."""
+    s, v = _c(scale).cast("float").cast("double"), _c(x).cast("double")
+    bad_scale = s.isNull() | F.isnan(s) | (s <= 0) | (s >= 3e38)
+    bad_value = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(bad_scale, "scale").when(bad_value, "value").when(quantise(x, scale).isNull(), "range").otherwise("ok")
+
+
+def _scale_at(scales: list[float], i) -> Column:
+    return F.element_at(F.array(*(F.lit(float(s)) for s in scales)), (i % len(scales) + 1).cast("int"))
+
+
+def quantise_channels(values, scales: list[float]) -> Column:
+    """(status, values) of an interleaved array, element i at scale i modulo their number.
+
+    The first refused element gives the status and refuses the whole array (values null).
+    A null array gives a null status; an empty one is ``ok``.
+    """
+    values = _c(values)
+    bad = F.filter(F.transform(values, lambda x, i: channel_status(x, _scale_at(scales, i))), lambda s: s != "ok")
+    status = F.when(values.isNotNull(), F.coalesce(F.get(bad, F.lit(0)), F.lit("ok")))
+    return F.struct(status.alias("status"), F.when(status == "ok", F.transform(values, lambda x, i: quantise(x, _scale_at(scales, i)))).alias("values"))
+
+
+def dequantise_channels(values, scales: list[float]) -> Column:
+    return F.transform(_c(values), lambda q, i: dequantise(q, _scale_at(scales, i)))
+
+
 def suggested_scale(precision) -> Column:
     p = _c(precision).cast("float")
     return F.when(F.isnan(p) | (p <= 0), F.lit(0.0).cast("float")).otherwise((F.lit(1.0) / p.cast("double")).cast("float"))

@@ -36,3 +36,18 @@ def summary(results: DataFrame) -> DataFrame:
     """By category: counts by status, mean ratio of those that passed, share that did not fail (refused counts as success)."""
     status = lambda s: F.count(F.when(F.col("status") == s, 1))
     return results.groupBy("category").agg(F.count(F.lit(1)).alias("n"), status("PASS").alias("passed"), status("REJECTED").alias("rejected"), status("FAIL").alias("failed"), F.avg(F.when(F.col("status") == "PASS", F.col("ratio"))).alias("mean_ratio"), (F.lit(1.0) - status("FAIL") / F.count(F.lit(1))).alias("success"))
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """Number of results by layer and status."""
+    return results.groupBy("layer", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Result rows as CSV files with a header, by Spark's own writer, so into any store."""
+    rows.write.option("header", True).csv(path)
+
+
+def read_csv(like: DataFrame, path: str) -> DataFrame:
+    """Rows that ``write_csv`` wrote, with the columns of ``like``."""
+    return like.sparkSession.read.schema(like.schema).option("header", True).csv(path)

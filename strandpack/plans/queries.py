@@ -210,6 +210,14 @@ def q_equal_framing(spark, sf_dir):
     return equal(spark, sf_dir)
 
 
+@query(_EQUAL_SQL.format("SELECT codec, bytes FROM equal"))
+def q_result_csv(spark, sf_dir):
+    """Result rows written as CSV and read again."""
+    path, rows = shared(spark), equal(spark, sf_dir)
+    report.write_csv(rows, path)
+    return report.read_csv(rows, path)
+
+
 #: A reproducible stand-in for measured speed: higher is faster.
 SPEED = {"vbyte": 6, "svb": 5, "bp128": 4, "optpfd": 1, "sprintz": 2, "native": 3}
 
@@ -313,6 +321,59 @@ def q_dequantise_error(spark, sf_dir):
     return rows.groupBy("vec_id").agg(worst.cast("double").alias("worst"), (worst <= 0.0005005).alias("within"))
 
 
+#: Scales of four interleaved channels; the third is beyond int32 for some values.
+CHANNEL_SCALES = (1000.0, 250.5, 8e9, 64.0)
+_CHANNELS = (_FLOATS, "sc(c, s) AS (VALUES " + ", ".join(f"({k}, {v!r}::FLOAT::DOUBLE)" for k, v in enumerate(CHANNEL_SCALES)) + ")",
+             "sx AS (SELECT vec_id, pos, x, s, CAST(x AS DOUBLE) * s + CASE WHEN CAST(x AS DOUBLE) * s >= 0 THEN 0.5 ELSE -0.5 END AS y FROM fl JOIN sc ON c = pos % 4)",
+             "cq AS (SELECT vec_id, count(*) AS n, bool_and(y >= -2147483648 AND y <= 2147483647) AS fits, sum(CASE WHEN abs(y) < 1e18 THEN CAST(trunc(y) AS BIGINT) END) AS total, max(CASE WHEN abs(y) < 1e18 THEN abs(x - CAST(trunc(y) / s AS FLOAT)) END) AS worst FROM sx GROUP BY vec_id)")
+_CHANNEL_ROWS = sql.query(*_CHANNELS, select="SELECT vec_id, CASE WHEN fits THEN 'ok' ELSE 'range' END AS status, CAST(n AS INTEGER) AS n, CAST(CASE WHEN fits THEN total END AS BIGINT) AS total, CAST(CASE WHEN fits THEN worst END AS DOUBLE) AS worst FROM cq")
+
+
+def channel_quantised(spark, sf_dir) -> DataFrame:
+    rows = samples.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", ints.quantise_channels("embedding", list(CHANNEL_SCALES)).alias("q"))
+    return rows.select("vec_id", "embedding", "q.status", F.col("q.values").alias("values"))
+
+
+@query(_CHANNEL_ROWS)
+def q_quantise_channels(spark, sf_dir):
+    """Vectors as interleaved channels of a scale each; one refused value refuses its vector."""
+    rows = channel_quantised(spark, sf_dir)
+    total = F.aggregate("values", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    back = ints.dequantise_channels("values", list(CHANNEL_SCALES))
+    worst = F.array_max(F.zip_with("embedding", back, lambda x, b: F.abs(x - b)))
+    return rows.select("vec_id", "status", F.size("embedding").alias("n"), total.alias("total"), worst.cast("double").alias("worst"))
+
+
+@query("SELECT layer, status, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'core' AS layer, CASE WHEN bytes < 0 THEN 'refused' ELSE 'accepted' END AS status FROM ("
+       + sql.query(sql.LINEITEM, sql.WHOLE, sql.core("whole", "stream, ch"), select="SELECT bytes FROM core")
+       + ") UNION ALL SELECT 'channel', CASE WHEN passed THEN 'passed through' ELSE 'coded' END FROM (" + sql.query(sql.LINEITEM, sql.WHOLE, sql.payloads("whole", "stream", 4), select="SELECT passed FROM payload")
+       + ") UNION ALL SELECT 'quantise', status FROM (" + _CHANNEL_ROWS + ")) GROUP BY layer, status")
+def q_status_counters(spark, sf_dir):
+    """Results by layer and status."""
+    rows = whole(lineitem(spark, sf_dir))
+    core = sizing.core_size(rows, ["stream", "ch"]).select(F.lit("core").alias("layer"), F.when(F.col("bytes") < 0, "refused").otherwise("accepted").alias("status"))
+    channel = sizing.channel_payloads(rows, ["stream"], 4).select(F.lit("channel").alias("layer"), F.when(F.col("passed"), "passed through").otherwise("coded").alias("status"))
+    floats_ = channel_quantised(spark, sf_dir).select(F.lit("quantise").alias("layer"), "status")
+    return report.counters(core.unionByName(channel).unionByName(floats_))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS path, CAST((i - 1) // 4 AS BIGINT) AS rec, CAST((i - 1) % 4 AS INTEGER) AS ch, CAST(embedding[i] AS FLOAT)::DOUBLE AS x, CAST([1000.0, 250.5, 8e9, 64.0][(i - 1) % 4 + 1] AS FLOAT)::DOUBLE AS scale FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) r")
+def q_float_fixtures(spark, sf_dir):
+    """Vectors as float fixtures of four channels, scanned again."""
+    import numpy as np
+    import pyarrow as pa
+
+    def build(batches):
+        scales = np.array(CHANNEL_SCALES, np.float32)
+        for b in batches:
+            data = [fixtures.build_floats(scales, np.array(v, np.float32).reshape(-1, 4)) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(data, pa.binary())], ["path", "content"])
+
+    files = samples.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(build, "path string, content binary")
+    rows = fixtures.float_rows(files).select("path", "rec", F.posexplode(F.arrays_zip("values", "scales")).alias("ch", "z"))
+    return rows.select("path", "rec", "ch", F.col("z")["values"].cast("double").alias("x"), F.col("z")["scales"].cast("double").alias("scale"))
+
+
 _XOR = (_FLOATS, "bt AS (SELECT vec_id, pos, CAST(CAST(CAST(x AS FLOAT) AS BIT) AS INTEGER) AS b FROM fl)", "xr AS (SELECT *, (b::BIGINT & 4294967295) AS u, xor(b::BIGINT & 4294967295, lag(b::BIGINT & 4294967295) OVER (PARTITION BY vec_id ORDER BY pos)) AS x FROM bt)")
 
 

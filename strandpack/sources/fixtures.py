@@ -39,11 +39,36 @@ def parse_floats(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<f4", k, 8), np.frombuffer(data, "<f4", n, 8 + 4 * k).reshape(-1, k)
 
 
+def build_floats(scales: np.ndarray, x: np.ndarray) -> bytes:
+    x, scales = np.ascontiguousarray(x, "<f4"), np.ascontiguousarray(scales, "<f4")
+    return struct.pack("<ii", x.shape[1], x.size) + scales.tobytes() + x.tobytes()
+
+
 def build(x: np.ndarray) -> bytes:
     x = np.ascontiguousarray(x, "<i4")
     return struct.pack("<ii", x.shape[1], x.size) + x.tobytes()
 
 
+def float_rows(files: DataFrame) -> DataFrame:
+    """(path, rec, scales, values) of the float fixtures in (path, content)."""
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                scales, x = parse_floats(data)
+                k = len(scales)
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * k)
+                own, repeated = pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), pa.ListArray.from_arrays(offsets, pa.array(np.tile(scales, len(x))))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(np.arange(len(x), dtype=np.int64)), repeated, own], ["path", "rec", "scales", "values"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, rec long, scales array<float>, values array<float>")
+
+
+def read_floats(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rec, scales, values) of every float fixture under ``path``, a task a file."""
+    return float_rows(spark.read.format("binaryFile").load(path))
+
+
 def read(spark: SparkSession, path: str, channels: int | None = None, most_records: int | None = None) -> DataFrame:
     """(path, rec, values) of every file under ``path``; with ``channels`` others are refused."""
 

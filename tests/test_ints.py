@@ -79,3 +79,16 @@ def test_dequantise_error_stays_within_half_a_step(spark):
 def test_batch_targets(spark):
     df = spark.createDataFrame([(2.0, 0.25), (25.0, 2.0), (0.1, 0.1), (1000.0, 5.0)], "hz double, d double")
     assert [r.t for r in df.select(ints.target_batch("hz", "d").alias("t")).collect()] == [1, 50, 1, 512]
+
+
+def test_channels_are_refused_whole_by_their_first_bad_value(spark):
+    nan, inf = float("nan"), float("inf")
+    cases = [(0, [1.0, 2.0, -1.5]), (1, [1.0, 1e9, nan]), (2, [nan, 1e9]), (3, [1.0, inf]), (4, [None]), (5, []), (6, None)]
+    rows = spark.createDataFrame(cases, "k int, x array<float>").select("k", ints.quantise_channels("x", [10.0, 4.0]).alias("q"))
+    got = {r["k"]: (r["q"]["status"], r["q"]["values"]) for r in rows.collect()}
+    assert got == {0: ("ok", [10, 8, -15]), 1: ("range", None), 2: ("value", None), 3: ("value", None), 4: ("value", None), 5: ("ok", []), 6: (None, None)}
+    bad = spark.createDataFrame([(0, [1.0, 1.0])], "k int, x array<float>")
+    for scale in (0.0, -1.0, nan, inf):
+        assert bad.select(ints.quantise_channels("x", [1.0, scale])["status"]).first()[0] == "scale"
+    back = rows.filter("k = 0").select(ints.dequantise_channels("q.values", [10.0, 4.0])).first()[0]
+    assert back == [1.0, 2.0, -1.5]

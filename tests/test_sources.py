@@ -125,3 +125,14 @@ def test_percentiles_take_the_truncated_index(spark):
 def test_pareto_drops_what_is_beaten(spark):
     df = spark.createDataFrame([("a", 1, 9), ("b", 5, 5), ("c", 4, 5), ("d", 5, 5), ("e", 9, 1)], "n string, x int, y int")
     assert sorted(r.n for r in report.pareto(df, [], ["x", "y"]).collect()) == ["a", "b", "d", "e"]
+
+
+def test_float_fixtures_are_read_from_files(spark, tmp_path):
+    scales = np.array([10, 0.5], np.float32)
+    x = np.arange(6, dtype=np.float32).reshape(3, 2) / 8
+    (tmp_path / "a.bin").write_bytes(fixtures.build_floats(scales, x))
+    (tmp_path / "b.bin").write_bytes(fixtures.build_floats(scales, x[:0]))
+    got = sorted((r["rec"], r["scales"], r["values"]) for r in fixtures.read_floats(spark, str(tmp_path)).collect())
+    assert got == [(i, [10.0, 0.5], x[i].tolist()) for i in range(3)]
+    with pytest.raises(ValueError):
+        fixtures.parse_floats(fixtures.build_floats(scales, x)[:-1])
