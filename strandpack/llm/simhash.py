@@ -12,12 +12,15 @@ blocks once more, which again loses no link. What is above the limit even then i
 crowd of near fingerprints; it is cut in chunks, and every two chunks meet in a task of
 their own. A group gives a spanning forest of its links, never all pairs.
 
-Fingerprints cannot decide a Jaccard similarity of 0.8, where about ten bits of 64 differ.
-``keep_first`` therefore compares the sets of distinct shingles. Sets that agree in a band
-of minima (MinHash) are candidates; the groups that candidates connect are gathered, and
-in each group all pairs are compared by their exact similarity. Groups above ``set_limit``
-shingles are cut in chunks, and every two chunks meet in a task of their own, so that a
-pair is lost only if no chain of candidates connects it.
+``keep_first`` finds its candidates by the same fingerprints, taken of the distinct
+shingles: those of ``MAX_BITS`` differing bits or fewer by block groups, pivot distances
+and verification, as above. At a Jaccard similarity of 0.8 about ten bits of 64 differ,
+where no pivot discards anything any more, so each set also has a wide fingerprint, whose
+votes are signed bytes. Sets that agree on one of its 128 blocks of 16 bits are candidates
+if their sizes (the distances to the empty set) and 128 further bits allow it. The groups
+that candidates connect are gathered, and in each all pairs are compared by their exact
+similarity. Groups above ``set_limit`` shingles are cut in chunks, and every two chunks
+meet in a task of their own, so that a pair is lost only if no chain of candidates connects it.
 
 Defined cases: a text without words (null and empty too) has fingerprint 0 and is linked
 like any other; with fewer words than a shingle the whole sequence is the only shingle;
@@ -38,8 +41,12 @@ from pyspark.sql import types as T
 from strandpack.llm import common, graph
 
 SEED, MAX_BITS, PIVOTS = 42, 4, 24
-#: Bands of minima, and minima in a band: a pair of similarity 0.8 agrees in no band with a probability of 0.00007.
-BANDS, BAND_ROWS = 24, 5
+#: Blocks of a wide fingerprint, and bits in a block: a pair of similarity 0.8 agrees on no block with a probability of 0.00007.
+BLOCKS, BLOCK_BITS = 128, 16
+#: Bits that check a pair, and how many of them may differ: 19 are expected to at similarity 0.8, and 64 of unlike sets.
+CHECK_BITS, CHECK_LIMIT = 128, 40
+#: A set as it is dealt to a block, with the name of the group that it is in already.
+MEMBER = np.dtype([("key", "<u2"), ("size", "<u4"), ("name", "<i8"), ("check", "<u8", CHECK_BITS // 64)])
 #: Distinct shingles that are compared in one task.
 SET_LIMIT = 1 << 19
 
@@ -216,27 +223,70 @@ def set_name(shingles: np.ndarray) -> int:
     return signed(xxh64_intdigest(shingles.tobytes(), SEED))
 
 
-def band_factors() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors that mix shingles for each minimum, and that join the minima of a band."""
+def wide_factors() -> np.ndarray:
+    """Odd factors that mix a shingle into eight votes each."""
     from xxhash import xxh64_intdigest
 
-    n = BANDS * BAND_ROWS
-    odd = np.array([xxh64_intdigest(b"band%d" % i, SEED) | 1 for i in range(2 * n)], np.uint64)
-    return odd[:n], odd[n:].reshape(BANDS, BAND_ROWS)
+    return np.array([xxh64_intdigest(b"wide%d" % i, SEED) | 1 for i in range((CHECK_BITS + BLOCKS * BLOCK_BITS) // 8)], np.uint64)
 
 
-def band_keys(shingles: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One key of every band; sets of similarity s agree in a key with probability s to the power ``BAND_ROWS``."""
-    mix, join = factors
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(len(mix), np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingles), 512):
-        z = shingles[s : s + 512, None] * mix
+def wide_fingerprint(shingles: np.ndarray, factors: np.ndarray) -> bytes:
+    """The check and all blocks: each bit tells whether its votes, one signed byte of a shingle's hash, are positive in sum.
+
+    Votes of unlike weights have hardly any ties, so that small sets are as near as large ones.
+    """
+    low = np.uint64(0x00FF00FF00FF00FF)
+    sums = np.zeros((2, 4 * len(factors)), np.int64)
+    for s in range(0, len(shingles), 256):  # sums of 256 bytes fit in 16 bits
+        z = shingles[s : s + 256, None] * factors
         z ^= z >> np.uint64(32)
         z *= np.uint64(0xD6E8FEB86659FD93)
-        np.minimum(least, z.min(0), out=least)
-    return (least.reshape(join.shape) * join).sum(1, dtype=np.uint64).view(np.int64)
+        z ^= z >> np.uint64(32)
+        sums[0] += (z & low).sum(0, dtype=np.uint64).view("<u2")
+        z >>= np.uint64(8)
+        sums[1] += (z & low).sum(0, dtype=np.uint64).view("<u2")
+    return np.packbits(2 * sums.ravel() > 255 * len(shingles)).tobytes()
+
+
+def block_links(members: np.ndarray, similarity: float, run_limit: int = 512, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links from names to the smallest one that a member reaches by pairs of equal keys that may be near."""
+    members = members[np.lexsort((members["name"], members["key"]))]
+    key, name = (np.ascontiguousarray(members[x]) for x in ("key", "name"))
+    size, check = members["size"].astype(np.int64), np.ascontiguousarray(members["check"])
+
+    def near(i, j):
+        fits = np.minimum(size[i], size[j]) + 1e-9 >= similarity * np.maximum(size[i], size[j])
+        i, j = (x[fits] if np.ndim(x) else x for x in (i, j))
+        fits[fits] = np.bitwise_count(check[i] ^ check[j]).sum(1, dtype=np.int64) <= CHECK_LIMIT
+        return fits
+
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    first, stop = np.searchsorted(key, key), np.searchsorted(key, key, side="right")
+    short = np.flatnonzero(stop - first <= run_limit)
+    runs = stop[short] - short - 1
+    ends = np.cumsum(runs)
+    cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + most, most))
+    for s, e in zip(cuts, [*cuts[1:], len(short)]):
+        i = np.repeat(short[s:e], runs[s:e])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(runs[s:e]) - runs[s:e], runs[s:e]) + i + 1
+        keep = near(i, j)
+        a.append(i[keep])
+        b.append(j[keep])
+    for s in np.unique(first[stop - first > run_limit]):
+        # each member of a crowd is compared with all that are not reached yet
+        left = np.arange(s, stop[s])
+        while len(left):
+            reached, left = [left[0]], left[1:]
+            while reached and len(left):
+                x = reached.pop()
+                keep = near(x, left)
+                reached += left[keep].tolist()
+                a.append(left[keep])
+                b.append(np.full(keep.sum(), x))
+                left = left[~keep]
+    root = forest(len(name), np.concatenate(a), np.concatenate(b))
+    found = np.unique(np.stack([name, name[root]])[:, name != name[root]], axis=1)
+    return found[0], found[1]
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -265,25 +315,71 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, size, bands) of every row: the name of its set of shingles, their number, and the band keys."""
+    """(doc_id, node, size, fp, wide) of every row: the name of its set of shingles, their number, and its fingerprints."""
     common.bound_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
 
     def run(batches):
-        factors = band_factors()
+        factors = wide_factors()
         for b in batches:
             sets = [distinct_shingles(t, width) for t in b.column(1).to_pylist()]
-            columns = [pa.array(map(set_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([band_keys(x, factors) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], schema.names)
+            columns = [pa.array(map(f, sets), pa.int64()) for f in (set_name, len, majority)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array([wide_fingerprint(x, factors) for x in sets], pa.binary())], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(node, root) of all sets (node, size, bands) that agree in a band with another one, in the groups that these connect."""
-    keyed = distinct.select("node", F.explode("bands").alias("key"))
-    shared = common.written(keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared-bands")
-    found = graph.components(keyed.join(shared, "key").select(F.col("node").alias("a"), "b"))
+def wide_links(distinct: DataFrame, similarity: float, part_rows: int = 1 << 15) -> DataFrame:
+    """(a, b): links that connect the groups of the sets (name, size, wide) as all pairs that agree on a block and may be near do."""
+    common.bound_batches(distinct.sparkSession)
+    shift = BLOCK_BITS - min(BLOCK_BITS, max(0, (distinct.count() // part_rows).bit_length()))
+
+    def deal(batches):
+        """The members of each block, by ranges of their keys, packed."""
+        for b in held(batches):
+            prints = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            keys = prints[:, CHECK_BITS // 8 :].copy().view("<u2")
+            members = np.zeros(b.num_rows, MEMBER)
+            members["size"], members["name"] = b.column("size").to_numpy(), b.column("name").to_numpy()
+            members["check"] = prints[:, : CHECK_BITS // 8].copy().view("<u8")
+            for block in range(BLOCKS):
+                members["key"] = keys[:, block]
+                part = keys[:, block] >> shift
+                order = np.argsort(part, kind="stable")
+                parts, at = np.unique(part[order], return_index=True)
+                packed = pa.array([x.tobytes() for x in np.split(members[order], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block, np.int32)), pa.array(parts.astype(np.int32)), packed], ["block", "part", "packed"])
+
+    def held(batches, most: int = 1 << 14):
+        rows, n = [], 0
+        for b in batches:
+            rows.append(b)
+            n += b.num_rows
+            if n >= most:
+                yield pa.Table.from_batches(rows)
+                rows, n = [], 0
+        if n:
+            yield pa.Table.from_batches(rows)
+
+    def run(group: pa.Table) -> pa.Table:
+        members = np.frombuffer(b"".join(group.column("packed").to_pylist()), MEMBER)
+        return pa.table(dict(zip("ab", block_links(members, similarity))))
+
+    dealt = distinct.select("name", "size", "wide").mapInArrow(deal, "block int, part int, packed binary")
+    return dealt.groupBy("block", "part").applyInArrow(run, "a long, b long")
+
+
+def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of all sets (node, size, fp, wide) that are near another one by a fingerprint, in the groups that these connect."""
+    distinct = distinct.filter("size > 0")
+    prints = common.written(distinct.groupBy("fp").agg(F.min("node").alias("node")).withColumn("distances", distances(F.col("fp"))), "fingerprints")
+    same = distinct.select(F.col("node").alias("a"), "fp").join(prints.select("fp", F.col("node").alias("b")), "fp").filter("a <> b").select("a", "b")
+    left, right = (prints.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")) for end in "ab")
+    near = links(prints).join(left, "a").join(right, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    # a crowd of near fingerprints is one group from here on, so that wide fingerprints link it as one
+    close = common.written(graph.components(same.unionByName(near)), "close-sets").withColumnsRenamed({"node": "a", "root": "b"})
+    named = distinct.join(close, F.col("node") == F.col("a"), "left").select(F.coalesce("b", "node").alias("name"), "size", "wide")
+    found = graph.components(close.unionByName(wide_links(common.written(named, "named-sets"), similarity)))
     return common.written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
 
 
@@ -320,7 +416,7 @@ def alike_links(docs: DataFrame, distinct: DataFrame, width: int, similarity: fl
                 b.append(nodes[root[own]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    groups = common.written(candidates(distinct).join(distinct.select("node", "size", "doc_id"), "node"), "candidate-sizes")
+    groups = common.written(candidates(distinct, similarity).join(distinct.select("node", "size", "doc_id"), "node"), "candidate-sizes")
     chunks = groups.groupBy("root").agg(F.sum("size").alias("total"))
     chunks = chunks.select("root", F.when(F.col("total") > set_limit, F.ceil(F.col("total") * 2 / set_limit)).otherwise(1).cast("int").alias("count"))
     chunk = F.pmod(F.xxhash64("node"), F.col("count")).cast("int")
@@ -360,7 +456,7 @@ def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
     their group. An empty table gives an empty result.
     """
     prints = common.written(shingle_sets(docs, width, id_col, text_col), "prints")
-    distinct = common.written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "sets")
+    distinct = common.written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(x).alias(x) for x in ("size", "fp", "wide"))), "sets")
     roots = graph.components(alike_links(docs, distinct, width, similarity, id_col, text_col, set_limit)).withColumnRenamed("node", "a")
     rooted = common.written(distinct.join(roots, F.col("node") == F.col("a"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"))

@@ -11,6 +11,7 @@ import xxhash
 from oracle import connect, same
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from conftest import DATA
 from strandpack.llm import digests, graph, queries, simhash, topk
 
@@ -160,6 +161,87 @@ def test_equal_fingerprints_are_compared_and_keep_their_links(spark):
     assert kept_ids(spark, texts) == set(range(0, 24, 2)) == slow_kept(texts)
 
 
+def slow_wide(shingles):
+    factors = simhash.wide_factors().tolist()
+    sums = np.zeros((2, 4 * len(factors)), int)
+    for h in shingles:
+        for k, f in enumerate(factors):
+            z = h * f % 2**64
+            z = (z ^ z >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            z ^= z >> 32
+            for byte in range(8):
+                sums[byte % 2, 4 * k + byte // 2] += 2 * (z >> 8 * byte & 255) - 255
+    return np.packbits(sums.ravel() > 0).tobytes()
+
+
+def test_wide_fingerprints_by_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 300):
+        shingles = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        assert simhash.wide_fingerprint(shingles, simhash.wide_factors()) == slow_wide(shingles.tolist())
+
+
+def test_wide_fingerprints_find_near_sets_of_any_size():
+    """At a similarity of 0.8 a block agrees and the check passes, for small sets too."""
+    rng, factors = np.random.default_rng(7), simhash.wide_factors()
+    for a, b, both in ((4, 5, 4), (9, 9, 8), (18, 18, 16), (80, 100, 80), (180, 180, 160)):
+        found = 0
+        for _ in range(300):
+            x = rng.integers(0, 1 << 64, a + b - both, dtype=np.uint64)
+            members = np.zeros((simhash.BLOCKS, 2), simhash.MEMBER)
+            for k, part in enumerate((x[:a], x[a - both :])):
+                bits = np.frombuffer(simhash.wide_fingerprint(part, factors), np.uint8)
+                members["check"][:, k] = bits[: simhash.CHECK_BITS // 8].view("<u8")
+                members["key"][:, k] = bits[simhash.CHECK_BITS // 8 :].view("<u2")
+                members["size"][:, k], members["name"][:, k] = len(part), k
+            found += any(len(simhash.block_links(m, 0.8)[0]) for m in members)
+        assert found >= 299
+
+
+@pytest.mark.parametrize("limit, most", [(512, 1 << 20), (4, 1 << 20), (512, 7)])
+def test_links_of_a_block_by_brute_force(limit, most):
+    rng = np.random.default_rng(8)
+    members = np.zeros(150, simhash.MEMBER)
+    members["key"], members["size"], members["name"] = rng.integers(0, 5, 150), rng.integers(80, 125, 150), rng.permutation(150)
+    near = rng.integers(0, 1 << 64, (12, 2), dtype=np.uint64)[rng.integers(0, 12, 150)]
+    members["check"] = near ^ (np.uint64(1) << rng.integers(0, 64, (150, 2), dtype=np.uint64)) ^ rng.integers(0, 1 << 18, (150, 2), dtype=np.uint64)
+
+    def may_be_near(x, y):
+        bits = sum(int(p ^ q).bit_count() for p, q in zip(x["check"], y["check"]))
+        return x["key"] == y["key"] and min(x["size"], y["size"]) >= 0.8 * max(x["size"], y["size"]) and bits <= simhash.CHECK_LIMIT
+
+    want = {(int(x["name"]), int(y["name"])) for x in members for y in members if x["name"] < y["name"] and may_be_near(x, y)}
+    i, j = np.array(sorted(want)).T
+    root = simhash.forest(150, i, j).tolist()
+    got = dict(zip(*(x.tolist() for x in simhash.block_links(members, 0.8, limit, most))))
+    assert len(want) > 50 and got == {k: r for k, r in enumerate(root) if k != r}
+    members["name"] = 7  # one group already
+    assert not len(simhash.block_links(members, 0.8, limit, most)[0])
+
+
+def test_the_stage_finds_its_candidates_by_fingerprints_and_pivots(spark, monkeypatch):
+    """No other sketch takes part, and no pair of near fingerprints is lost before the exact check."""
+    seen, links = [], simhash.links
+
+    def spy(distinct, *args):
+        seen.append({r.fp: list(r.distances) for r in distinct.collect()})
+        return links(distinct, *args)
+
+    monkeypatch.setattr(simhash, "links", spy)
+    df, texts = near_docs(spark)
+    kept = {r.doc_id for r in corpus_pipeline.dedup_stage(spark, df, "").collect()}
+    sets = {i: simhash.distinct_shingles(t, 5) for i, t in enumerate(texts)}
+    prints = {i: simhash.majority(x) for i, x in sets.items() if len(x)}
+    table = {fp: [((fp & (1 << 64) - 1) ^ p).bit_count() for p in simhash.pivots().tolist()] for fp in prints.values()}
+    assert seen == [table] and kept < set(range(len(texts)))
+
+    rows = simhash.shingle_sets(df, 5, "doc_id", "text").dropDuplicates(["node"])
+    root = {r.node: r.root for r in simhash.candidates(rows, 0.8).collect()}
+    node = {i: simhash.set_name(x) for i, x in sets.items()}
+    near = [(i, j) for i in prints for j in prints if node[i] < node[j] and ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= simhash.MAX_BITS]
+    assert near and all(root[node[i]] == root[node[j]] for i, j in near)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
