@@ -8,22 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandpack.functions import codec, ints, rival_codecs
+from strandpack.operators import units
 
 FRAMES = "stream long, frame long, seq int, n_rec int, payload binary"
 
 
 def encode(records: DataFrame, channels: int, per_frame: int) -> DataFrame:
-    """(stream, frame, seq, n_rec, payload) of wide records; one shuffle by (stream, frame)."""
-    columns = [f"c{k}" for k in range(channels)]
+    """(stream, frame, seq, n_rec, payload) of wide records, gathered to a row a frame and encoded many at once."""
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.sort_by("rec")
-        x = np.stack([rows.column(c).to_numpy() for c in columns], 1).astype(np.int64).astype(np.int32).ravel()
-        stream, frame = rows.column("stream")[0].as_py(), rows.column("frame")[0].as_py()
-        data = codec.frame_encode(x, channels, frame)
-        return pa.table({"stream": pa.array([stream], pa.int64()), "frame": pa.array([frame], pa.int64()), "seq": pa.array([frame % 65536], pa.int32()), "n_rec": pa.array([rows.num_rows], pa.int32()), "payload": pa.array([data], pa.binary())})
+    def run(batches):
+        for b in batches:
+            counts = b.column(2).to_numpy().astype(np.int64)
+            vs = b.column(3)
+            values = vs.flatten().flatten().fill_null(0).to_numpy().astype(np.int32)
+            starts = np.cumsum(counts * channels) - counts * channels
+            numbers = b.column(1).to_pylist()
+            data = [codec.framed(n, k, body) for n, k, body in zip(counts.tolist(), numbers, codec.bodies(values, starts, counts, channels))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k % 65536 for k in numbers], pa.int32()), pa.array(counts, pa.int32()), pa.array(data, pa.binary())], ["stream", "frame", "seq", "n_rec", "payload"])
 
-    return records.withColumn("frame", F.floor(F.col("rec") / per_frame).cast("bigint")).groupBy("stream", "frame").applyInArrow(run, FRAMES)
+    return units.gather(records, channels, per_frame).mapInArrow(run, FRAMES)
 
 
 def decode(frames: DataFrame, channels: int, per_frame: int) -> DataFrame:
@@ -32,19 +35,13 @@ def decode(frames: DataFrame, channels: int, per_frame: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            streams, recs, values = [], [], []
-            for stream, frame, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                try:
-                    _, x = codec.frame_decode(data, channels)
-                except codec.Corrupt:
-                    continue
-                n = len(x) // channels
-                streams.append(np.full(n, stream))
-                recs.append(frame * per_frame + np.arange(n))
-                values.append(x.reshape(n, channels))
-            join = lambda xs: np.concatenate(xs).astype(np.int64) if xs else np.zeros(0, np.int64)
-            table = np.concatenate(values).astype(np.int64) if values else np.zeros((0, channels), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(join(streams)), pa.array(join(recs)), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(channels))], ["stream", "rec", *columns])
+            got = codec.frames_decode(b.column(2).to_pylist(), channels)
+            kept = [k for k, x in enumerate(got) if x is not None]
+            counts = np.array([len(got[k]) for k in kept], np.int64)
+            of = lambda i: b.column(i).take(pa.array(np.repeat(kept, counts).astype(np.int64)))
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            table = np.concatenate([got[k] for k in kept]).astype(np.int64) if kept else np.zeros((0, channels), np.int64)
+            yield pa.RecordBatch.from_arrays([of(0), pa.array(of(1).to_numpy() * per_frame + within), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(channels))], ["stream", "rec", *columns])
 
     return frames.select("stream", "frame", "payload").mapInArrow(run, "stream long, rec long, " + ", ".join(f"{c} long" for c in columns))
 

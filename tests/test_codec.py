@@ -149,3 +149,29 @@ def test_conformance_vectors():
     for r in records:
         if r["layer"] in encode:
             assert encode[r["layer"]](r) == r["output"], r["name"]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 9, 21])
+def test_many_frames_are_coded_as_one_by_one(k):
+    rng = np.random.default_rng(k)
+    xs = [x[: len(x) // k * k][: k * n] for x in cases(k) for n in (1, 2, 3, 8, 50, 400)]
+    counts = np.array([len(x) // k for x in xs])
+    flat = np.concatenate([x.reshape(-1, k).T.ravel() for x in xs])
+    got = [codec.framed(n, 7 + n, b) for n, b in zip(counts.tolist(), codec.bodies(flat, np.cumsum(counts * k) - counts * k, counts, k))]
+    assert got == [codec.frame_encode(x, k, 7 + len(x) // k) for x in xs]
+    assert all((b == x.reshape(-1, k)).all() for x, b in zip(xs, codec.frames_decode(got, k)))
+    damaged = []
+    for data in got:
+        bad = bytearray(data[codec.HEADER.size :])
+        if bad:
+            bad[int(rng.integers(len(bad)))] ^= int(rng.integers(1, 256))
+            damaged.append(codec.framed(codec.frame_header(data)[1], 0, bytes(bad[: int(rng.integers(1, 2 * len(bad)))])))
+    refused = 0
+    for data, back in zip(damaged, codec.frames_decode([*damaged, got[0][:-1]], k)):
+        try:
+            assert (codec.frame_decode(data, k)[1] == back.ravel()).all()
+        except codec.Corrupt:
+            refused += 1
+            assert back is None
+    assert refused
+    assert codec.frames_decode([], k) == []

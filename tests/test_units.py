@@ -58,3 +58,10 @@ def test_frames_are_sized_without_windows_over_values(spark, smallest, name):
     """One window numbers the records; the values of a task's frames are never sorted or kept at once."""
     df = QUERIES[name](spark, smallest)
     assert windows(df) == 1 and "Python" not in plan_of(df) and "InArrow" not in plan_of(df)
+
+
+@pytest.mark.parametrize("name", ["q_frame_roundtrip"])
+def test_frames_are_coded_many_at_once(spark, smallest, name):
+    """No call of a Python function per frame: batches of gathered frames are encoded."""
+    plan = plan_of(QUERIES[name](spark, smallest))
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
