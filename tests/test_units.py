@@ -53,7 +53,7 @@ def test_sweep_sizes_equal_the_kernels(spark):
     assert {r.per_frame for r in got} == {4, 10}
 
 
-@pytest.mark.parametrize("name", ["q_frame_sweep"])
+@pytest.mark.parametrize("name", ["q_frame_sweep", "q_equal_framing"])
 def test_frames_are_sized_without_windows_over_values(spark, smallest, name):
     """One window numbers the records; the values of a task's frames are never sorted or kept at once."""
     df = QUERIES[name](spark, smallest)
