@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_codec import cases
 
 from strandpack.functions import codec, rival_codecs
-from strandpack.operators import units
+from strandpack.operators import report, units
 from strandpack.plans.queries import QUERIES
 
 NAMES = ("vbyte", "svb", "bp128", "optpfd")
@@ -65,3 +65,10 @@ def test_frames_are_coded_many_at_once(spark, smallest, name):
     """No call of a Python function per frame: batches of gathered frames are encoded."""
     plan = plan_of(QUERIES[name](spark, smallest))
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_the_csv_rows_are_sized_without_windows_over_values(spark, smallest, monkeypatch):
+    written = []
+    monkeypatch.setattr(report, "write_csv", lambda rows, path: written.append(rows) or rows.write.option("header", True).csv(path))
+    assert QUERIES["q_result_csv"](spark, smallest).count() == 6
+    assert [windows(rows) for rows in written] == [1]
