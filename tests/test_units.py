@@ -60,7 +60,7 @@ def test_frames_are_sized_without_windows_over_values(spark, smallest, name, pas
     assert windows(df) == passes and "Python" not in plan_of(df) and "InArrow" not in plan_of(df)
 
 
-@pytest.mark.parametrize("name", ["q_frame_roundtrip", "q_frame_bytes"])
+@pytest.mark.parametrize("name", ["q_frame_roundtrip", "q_frame_bytes", "q_crc_valid"])
 def test_frames_are_coded_many_at_once(spark, smallest, name):
     """No call of a Python function per frame: batches of gathered frames are encoded."""
     plan = plan_of(QUERIES[name](spark, smallest))
