@@ -48,13 +48,6 @@ def gather(records: DataFrame, channels: int, per_frame: int) -> DataFrame:
     return units.select("stream", "frame", F.size("xs").cast("bigint").alias("n_rec"), F.array(*(F.col("xs").getField(c) for c in columns)).alias("vs"))
 
 
-def gather_samples(cut: DataFrame, unit: list[str], channels: int) -> DataFrame:
-    """(unit, n_rec, vs) of (unit, i, ch, v); n_rec counts the first channel."""
-    units = cut.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct("i", "ch", "v"))).alias("xs"))
-    own = lambda c: F.transform(F.filter("xs", lambda x: x["ch"] == c), lambda x: x["v"])
-    return units.select(*unit, F.transform(_upto(F.lit(channels)), own).alias("vs")).withColumn("n_rec", F.size(F.col("vs")[0]).cast("bigint"))
-
-
 def differences(v: Column) -> Column:
     """The wrapping differences of neighbours."""
     rest = F.greatest(F.size(v) - 1, F.lit(0))
@@ -177,7 +170,7 @@ def channel_size(vs: Column, channels: int) -> Column:
 
 def frame_size(units: DataFrame, channels: int) -> DataFrame:
     """(stream, frame, n_rec, bytes) of gathered frames, their headers included."""
-    return units.filter("n_rec > 0").select("stream", "frame", "n_rec", (channel_size(F.col("vs"), channels) + sizing.FRAME_HEADER).alias("bytes"))
+    return units.select("stream", "frame", "n_rec", (channel_size(F.col("vs"), channels) + sizing.FRAME_HEADER).alias("bytes"))
 
 
 def swept(units: DataFrame, channels: int, sizes: tuple[int, ...]) -> DataFrame:
