@@ -72,3 +72,9 @@ def test_the_csv_rows_are_sized_without_windows_over_values(spark, smallest, mon
     monkeypatch.setattr(report, "write_csv", lambda rows, path: written.append(rows) or rows.write.option("header", True).csv(path))
     assert QUERIES["q_result_csv"](spark, smallest).count() == 6
     assert [windows(rows) for rows in written] == [1]
+
+
+def test_the_frames_of_the_bursty_channel_are_sized_without_windows_over_values(spark, smallest):
+    """Its chain per stream and round is a Python function; the sizes before it are not."""
+    plan = plan_of(QUERIES["q_loss_markov"](spark, smallest))
+    assert len(re.findall(r"\bWindow \[", plan)) == 1 and plan.count("FlatMapGroups") == 1 and "MapInArrow" not in plan
