@@ -53,7 +53,7 @@ def test_sweep_sizes_equal_the_kernels(spark):
     assert {r.per_frame for r in got} == {4, 10}
 
 
-@pytest.mark.parametrize(("name", "passes"), [("q_frame_sweep", 1), ("q_equal_framing", 1), ("q_pareto", 2), ("q_frame_size", 1), ("q_cheaper_of_two", 1), ("q_effective_ratio", 1), ("q_loss_recovery", 1)])
+@pytest.mark.parametrize(("name", "passes"), [("q_frame_sweep", 1), ("q_equal_framing", 1), ("q_pareto", 2), ("q_frame_size", 1), ("q_cheaper_of_two", 1), ("q_effective_ratio", 1), ("q_loss_recovery", 1), ("q_mtu_packets", 1)])
 def test_frames_are_sized_without_windows_over_values(spark, smallest, name, passes):
     """One window numbers the records; the values of a task's frames are never sorted or kept at once."""
     df = QUERIES[name](spark, smallest)
